@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import lookalikes
+from granary.llm import lookalikes, pair_defects, splitting
 from granary.sources.tables import read_table
 
 
@@ -35,6 +35,28 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_forms(_text_fields(spark, d), P2_KEY, "value")
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(read_table(spark, d, "source_chunk"), "id", "content", "page_start", "page_end").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_oversized(read_table(spark, d, "source_chunk"), "id", "content", "page_start", "page_end")
+    return pieces.filter("piece > 0").select("id").distinct()
+
+
+OPTIONS = [f"option_{i}" for i in range(1, 6)]
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    found = pair_defects.pair_defects(read_table(spark, d, "question_bank_candidate"), "id", "stem", "explanation", "answer", OPTIONS)
+    return found.select("id", F.explode("defects").alias("defect")).distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pair_defects.pair_defects(read_table(spark, d, "question_bank_candidate"), "id", "stem", "explanation", "answer", OPTIONS)
+    return found.select("id", "defect").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
