@@ -35,6 +35,7 @@ REFUSALS = (
 REFUSAL = "(?iu)" + "|".join(f"(?:{p})" for p in REFUSALS)
 LEAD = r"^\s*(?:[\[(<【]?\s*(?:해설|정답\s?해설|풀이|설명|explanation|answer)\s*[\])>】]?\s*[:：]?\s*)+"
 NOTE = r"\s*(?:[(\[](?:근거|출처|참고|참조)\s*[:：][^()\[\]]*[)\]]|\n\s*(?:※|\*|[-•])\s*(?:참고|근거|출처|주)\s*[:：][^\n]*)\s*$"
+ASKED = r"(?:을|를)? 묻는 (?:문항|문제|질문)(?:이다|입니다|임)?\s*[.]?\s*$"
 ANSWER_LINE = r"(?:따라서 |그러므로 )?정답은 ?[①-⑤1-5](?:번)?(?:이다|입니다|이며|임)?[.,]?"
 
 
@@ -72,7 +73,7 @@ def is_copy(stem: Column, explanation: Column, options: list[Column]) -> Column:
     Either the squeezed stem stands in the explanation (or the reverse) and the rest is in the options, or nearly all the
     explanation's words are words of the stem and the options.
     """
-    body = F.regexp_replace(F.regexp_replace(explanation, "(?iu)" + LEAD, ""), ANSWER_LINE, "")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(explanation, "(?iu)" + LEAD, ""), ASKED, ""), ANSWER_LINE, "")
     flat, of_stem = squeezed(body), squeezed(stem)
     rest = F.replace(flat, of_stem, F.lit(""))
     for option in options:

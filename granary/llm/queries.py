@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import lookalikes, pair_defects, splitting
+from granary.llm import canonical_list, lookalikes, pair_defects, splitting
 from granary.sources.tables import read_table
 
 
@@ -57,6 +57,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "defect").distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scope = read_table(spark, d, "chunks"), read_table(spark, d, "exam_scope")
+    areas = canonical_list.map_to_list(chunks, ["rag_input_id"], "mapped_area", scope.select("area", F.col("area").alias("name")), "area", "name")
+    details = canonical_list.map_to_list(chunks, ["rag_input_id"], "mapped_detail", scope, "id", "detail")
+    listed_areas = [r.area for r in scope.select("area").distinct().collect()]
+    listed_details = [canonical_list.consistent(r.detail) for r in scope.select("detail").distinct().collect() if r.detail]
+    found = None
+    for field, rows, listed in (("mapped_area", areas, listed_areas), ("mapped_detail", details, listed_details)):
+        rows = rows.filter(F.col("canonical_key").isNotNull() & ~F.col("value").isin(listed))
+        rows = rows.select("rag_input_id", F.lit(field).alias("field_name"), "canonical_key")
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
