@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import canonical_list, lookalikes, pair_defects, splitting
+from granary.llm import canonical_list, links, lookalikes, near_duplicates, pair_defects, splitting
 from granary.sources.tables import read_table
 
 
+P1_TEXT = ["stem", "option_1", "explanation"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    members, pairs = near_duplicates.near_duplicates(read_table(spark, d, "question_bank_candidate"), "id", P1_TEXT)
+    return near_duplicates.expanded_links(members, pairs)
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate with the least id of its group of similar ones (its own where it has none) and its class."""
+    members, pairs = near_duplicates.near_duplicates(read_table(spark, d, "question_bank_candidate"), "id", P1_TEXT)
+    groups = links.connected_components(pairs, "id_a", "id_b").select(F.col("id").alias("representative"), "group")
+    joined = members.join(groups, "representative", "left")
+    return joined.select("id", F.col("representative").alias("class_id"), F.coalesce("group", "representative").alias("group_id"))
+
+
 def _text_fields(spark: SparkSession, d: str) -> DataFrame:
     chunks, scope = read_table(spark, d, "chunks"), read_table(spark, d, "exam_scope")
     fields = F.explode(
