@@ -19,7 +19,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,14 +139,16 @@ def near_duplicates(
     return members.join(first, "class").select("id", "class", "representative"), named.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
 
 
-def expanded_links(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of all records: copies link to their representative and to the representatives their class is linked with.
+def expanded_links(members: DataFrame, links: DataFrame, heads_each: int = 16) -> DataFrame:
+    """Links of all records: each links to the first ``heads_each`` members of its own class and of every linked class.
 
-    A class of c copies with l linked classes adds c * (l + 1) rows, never its pairs among themselves.
+    A class of c copies with l linked classes adds at most heads_each * c * (l + 1) rows, never its pairs among themselves;
+    classes of up to ``heads_each`` copies come out in full, larger ones through their heads, which all members share.
     """
-    copies = members.filter(F.col("id") != F.col("representative")).select("id", "representative")
-    both = links.select("id_a", "id_b").unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    of_copies = copies.join(both, copies.representative == both.id_a).select("id", F.col("id_b").alias("other"))
-    more = of_copies.unionByName(copies.select("id", F.col("representative").alias("other")))
-    more = more.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
-    return links.select("id_a", "id_b").unionByName(more).distinct()
+    order = Window.partitionBy("representative").orderBy("id")
+    heads = members.select("id", "representative", F.row_number().over(order).alias("n")).filter(F.col("n") <= heads_each)
+    heads = heads.select(F.col("id").alias("head"), F.col("representative").alias("id_b"))
+    own = members.filter(F.col("id") != F.col("representative")).select(F.col("representative").alias("id_a"), F.col("representative").alias("id_b"))
+    both = links.select("id_a", "id_b").unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).unionByName(own.distinct())
+    pairs = members.select("id", F.col("representative").alias("id_a")).join(both, "id_a").join(heads, "id_b").filter(F.col("id") != F.col("head"))
+    return pairs.select(F.least("id", "head").alias("id_a"), F.greatest("id", "head").alias("id_b")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import canonical_list, links, lookalikes, near_duplicates, pair_defects, splitting
+from granary.llm import canonical_list, links, lookalikes, near_duplicates, pair_defects, shared_spans, splitting
 from granary.sources.tables import read_table
 
 
@@ -87,6 +87,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.distinct()
 
 
+def _passage_fields(spark: SparkSession, d: str) -> DataFrame:
+    candidates, chunks = read_table(spark, d, "question_bank_candidate"), read_table(spark, d, "chunks")
+    parts = [
+        rows.select(F.lit(table).alias("table_name"), F.col(key).alias("record_id"), F.lit(field).alias("field_name"), F.col(field).alias("text"))
+        for rows, table, key, field in (
+            (candidates, "question_bank_candidate", "id", "stem"),
+            (candidates, "question_bank_candidate", "id", "explanation"),
+            (chunks, "chunks", "rag_input_id", "content"),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _passage_fields(spark, d)
+    record = F.xxhash64("table_name", "record_id")
+    found = shared_spans.shared_windows(rows.select(F.lit(0).cast("long").alias("row"), record.alias("record"), "text"), 200).select("record").distinct()
+    names = rows.select("table_name", "record_id").distinct().withColumn("record", record)
+    return names.join(found, "record", "left_semi").select("table_name", "record_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
