@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import canonical_list, leakage, links, lookalikes, near_duplicates, pair_defects, shared_spans, splitting
+from granary.llm import canonical_list, leakage, links, lookalikes, near_duplicates, pair_defects, shared_spans, splitting, subjects
 from granary.sources.tables import read_table
 
 
@@ -117,6 +117,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p10_mixtures(spark: SparkSession, d: str) -> DataFrame:
+    areas, labels = read_table(spark, d, "subject_areas"), read_table(spark, d, "area_labels")
+    described = areas.select("area_code", F.concat_ws(", ", "description", "area_name", "area_name_en").alias("description"))
+    found = subjects.subject_mixtures(read_table(spark, d, "documents"), "doc_id", "text", described, "area_code", "description", labels, "doc_id", "area_code")
+    return found.select(F.col("id").alias("doc_id"), F.col("area").alias("area_code"), "share")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_mixtures(spark, d).filter(F.col("share") >= 0.25 - 1e-9).select("doc_id", "area_code").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
