@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-SHARED = 1  # components without an area
+SHARED = 3  # components without an area: what the seeds leave unexplained, and what Hangul and other texts share
 TOKEN = re.compile(r"[^\W\d_]+|[.!?。！？](?=\s)|\n")
 # Particles and endings that are cut off a Korean word, longer ones first.
 ENDINGS = re.compile(
@@ -77,10 +77,11 @@ class Model:
 
     def __init__(self, areas: list[str], terms: np.ndarray):
         self.areas, self.terms = areas, terms.astype(np.float32)
-        whole = self.terms.sum(axis=1, keepdims=True)
-        evidence = np.where(whole > 0, self.terms[:, : len(areas)] / (whole + 1e-30), 0)
-        # A term speaks for an area if it is more of the area's than of all other components together.
-        self.strength = np.where(evidence > 0.5, evidence, 0).astype(np.float32)
+        of_areas, unexplained = self.terms[:, : len(areas)], self.terms[:, len(areas)][:, None]
+        evidence = of_areas / (of_areas.sum(axis=1, keepdims=True) + 1e-30)
+        # A term speaks for an area that has more than two fifths of all areas' use of it, and more use of it than what
+        # the seeds leave unexplained.
+        self.strength = np.where((evidence > 0.4) & (of_areas > unexplained), evidence, 0).astype(np.float32)
 
     def starting(self, labels: list[list[str] | None]) -> np.ndarray:
         """Starting row factors: all components, or for labelled rows those of the labels and the shared ones."""
@@ -143,10 +144,17 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterato
             yield batch.slice(low)
 
 
+def is_other_script(text: str) -> bool:
+    """More letters of other scripts than Hangul ones."""
+    hangul = sum("가" <= c <= "힣" for c in text)
+    return 2 * hangul < sum(map(str.isalpha, text))
+
+
 def term_sums(rows: DataFrame, model: Model | None, areas: list[str], rounds: int) -> np.ndarray:
     """One alternating update: row factors of all rows (text, labels), and the sum of what they add to the term factors.
 
-    Without a model the labels are the factors: each labelled row adds its terms to its areas' components.
+    Without a model the labels are the factors: each labelled row adds its terms to its areas' components and to what its
+    script shares, and each row of any kind to the component of the unexplained.
     """
     width = len(areas) + SHARED
     shipped = rows.sparkSession.sparkContext.broadcast((model, areas))
@@ -167,7 +175,9 @@ def term_sums(rows: DataFrame, model: Model | None, areas: list[str], rounds: in
                 for name in own or ():
                     if name in place:
                         weight[row, place[name]] = 1 / len(own)
-            weight[:, len(names) :] = 1
+                if own:
+                    weight[row, len(names) + (2 if is_other_script(texts[row]) else 1)] = 1
+            weight[:, len(names)] = 1
             owner = text[sentence]
             for c in range(width):
                 total[:, c] += np.bincount(flat, weight[owner, c], BUCKETS)
@@ -186,17 +196,25 @@ def normalized(sums: np.ndarray) -> np.ndarray:
     return sums / sums.sum(axis=0, keepdims=True)
 
 
-def fit(rows: DataFrame, areas: list[tuple[str, str]], updates: int, rounds: int) -> Model:
-    """The model after ``updates`` passes over all rows (text, labels); seeds are the descriptions and the labelled rows."""
+def fit(rows: DataFrame, areas: list[tuple[str, str]], updates: int, rounds: int, hold: float) -> Model:
+    """The model after ``updates`` passes over all rows (text, labels); the seeds stay in it with the weight ``hold``.
+
+    Seeds are the descriptions and the labelled rows. What all rows use more than twice as often as the labelled ones do
+    seeds the component of the unexplained, such as texts of no area.
+    """
     names = [a for a, _ in areas]
-    sums = term_sums(rows.filter("size(labels) > 0"), None, names, rounds)
+    seeds = term_sums(rows, None, names, rounds)
     encoder = Encoder()
     for i, (_, description) in enumerate(areas):
         flat, _, _ = encoder.encode([p for p in re.split(r"[,;\n]", description or "") if p.strip()])
-        sums[:, i] += 20 * np.bincount(flat, minlength=BUCKETS)
-    model = Model(names, normalized(sums))
+        seeds[:, i] += 20 * np.bincount(flat, minlength=BUCKETS)
+    labelled = seeds[:, len(names) + 1 :].sum(axis=1)
+    everything = seeds[:, len(names)]
+    size = max(labelled.sum(), 1)
+    seeds[:, len(names)] = np.maximum(0, everything / max(everything.sum(), 1) - 2 * labelled / size) * size
+    model = Model(names, normalized(seeds))
     for _ in range(updates):
-        model = Model(names, normalized(term_sums(rows, model, names, rounds)))
+        model = Model(names, normalized(term_sums(rows, model, names, rounds) + hold * seeds))
     return model
 
 
@@ -212,6 +230,7 @@ def subject_mixtures(
     label_column: str,
     updates: int = 1,
     rounds: int = 5,
+    hold: float = 3.0,
     clear: float = 1.5,
     max_areas: int = 200,
 ) -> DataFrame:
@@ -227,7 +246,7 @@ def subject_mixtures(
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter(F.length("text") > 0)
     known = labels.select(F.col(label_id_column).alias("id"), F.col(label_column).cast("string").alias("a")).dropna()
     known = known.groupBy("id").agg(F.array_sort(F.collect_set("a")).alias("labels"))
-    model = fit(texts.join(known, "id", "left"), sorted((r.a, r.d or "") for r in listed), updates, rounds) if listed else Model([], np.ones((BUCKETS, SHARED)))
+    model = fit(texts.join(known, "id", "left"), sorted((r.a, r.d or "") for r in listed), updates, rounds, hold) if listed else Model([], np.ones((BUCKETS, SHARED)))
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
