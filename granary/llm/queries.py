@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import canonical_list, leakage, links, lookalikes, near_duplicates, pair_defects, shared_spans, splitting, subjects
+from granary.llm import canonical_list, leakage, links, lookalikes, near_duplicates, pair_defects, scans, shared_spans, splitting, subjects
 from granary.sources.tables import read_table
 
 
@@ -128,6 +128,26 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_mixtures(spark, d).filter(F.col("share") >= 0.25 - 1e-9).select("doc_id", "area_code").distinct()
 
 
+def _scan_texts(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Contents of both tables, and the section names that running headers carry (from the fixed dimension tables)."""
+    chunks, source = read_table(spark, d, "chunks"), read_table(spark, d, "source_chunk")
+    rows = source.select(F.lit("source_chunk").alias("table_name"), F.col("id").alias("record_id"), F.col("content").alias("text"))
+    rows = rows.unionByName(chunks.select(F.lit("chunks").alias("table_name"), F.col("rag_input_id").alias("record_id"), F.col("content").alias("text")))
+    scope, codes = read_table(spark, d, "exam_scope"), read_table(spark, d, "subject_areas")
+    names = scope.select(F.explode(F.array("area", "field")).alias("n")).union(codes.select(F.upper("area_code"))).distinct()
+    return rows, [r.n for r in names.collect() if r.n]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, sections = _scan_texts(spark, d)
+    return scans.scanned_rows(rows, ["table_name", "record_id"], "text", sections)
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows, sections = _scan_texts(spark, d)
+    return scans.repaired_texts(rows, ["table_name", "record_id"], "text", sections)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
