@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import canonical_list, leakage, links, lookalikes, near_duplicates, pair_defects, scans, shared_spans, splitting, subjects
+from granary.llm import canonical_list, leakage, links, lookalikes, near_duplicates, packing, pair_defects, scans, shared_spans, splitting, subjects
 from granary.sources.tables import read_table
 
 
@@ -108,6 +108,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.join(found, "record", "left_semi").select("table_name", "record_id")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(read_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_items(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "item_text")
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "run", "share")
