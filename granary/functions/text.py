@@ -39,7 +39,7 @@ def without_numbering(x: Column) -> Column:
 def clean_lines(x: Column) -> Column:
     """Runs of blanks as one space, lines trimmed, blank lines dropped."""
     text = F.regexp_replace(x, BLANK + "+", " ")
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
 def sliding_chunks(x: Column, size: int = 1400, overlap: int = 180) -> Column:
@@ -62,7 +62,7 @@ def particle_free(token: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Split after ., !, ? or 。 and white space, and at semicolons; trimmed and not empty."""
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?。])\s+|[;；]"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, r"(?<=[.!?。])\s+|[;；]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def numbers(x: Column) -> Column:

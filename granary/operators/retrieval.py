@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from granary.functions.text import tokens
 
 
+def weighted_terms(column: str, weight: float) -> Column:
+    """The terms of a field as (term, w) entries."""
+    return F.transform(tokens(F.coalesce(F.col(column), F.lit("")), 1), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+
 def postings(df: DataFrame, id_column: str, fields: dict[str, float]) -> DataFrame:
     """(id, term, weighted frequency, length) of every term of every document; length counts the terms of all fields."""
-    counted = [F.transform(tokens(F.coalesce(F.col(c), F.lit("")), 1), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in fields.items()]
-    rows = df.select(F.col(id_column).alias("id"), F.concat(*counted).alias("terms"))
+    rows = df.select(F.col(id_column).alias("id"), F.concat(*[weighted_terms(c, w) for c, w in fields.items()]).alias("terms"))
     rows = rows.select("id", F.size("terms").alias("length"), F.explode("terms").alias("t"))
     return rows.groupBy("id", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"), F.first("length").alias("length"))
 
@@ -22,7 +26,7 @@ def bm25(df: DataFrame, id_column: str, fields: dict[str, float], queries: DataF
     ``queries`` has ``query`` and ``term``. Length statistics are of all documents. Only the queries' terms are kept
     before anything is shuffled, and a term's rarity is counted on those rows.
     """
-    made = [F.transform(tokens(F.coalesce(F.col(c), F.lit("")), 1), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in fields.items()]
+    made = [weighted_terms(c, w) for c, w in fields.items()]
     rows = df.select(F.col(id_column).alias("id"), F.concat(*made).alias("terms")).select("id", F.size("terms").alias("length"), "terms")
     whole = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     wanted = queries.select("term").distinct()
