@@ -113,7 +113,7 @@ class Model:
         """
         flat, sentence, text = encoder.encode(texts)
         scores = group_sums(self.strength[flat], sentence, len(text))
-        chosen = np.where(scores.max(axis=1, initial=0) >= clear, scores.argmax(axis=1) if len(scores) else 0, -1)
+        chosen = np.where(scores.max(axis=1) >= clear, scores.argmax(axis=1), -1) if scores.size else np.full(len(scores), -1)
         out: list[dict[str, float]] = [{} for _ in texts]
         bounds = np.searchsorted(text, np.arange(len(texts) + 1))
         for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
