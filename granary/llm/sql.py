@@ -1,3 +1,42 @@
-"""DuckDB SQL of those pN_ queries that SQL can express."""
+"""DuckDB SQL of those pN_ queries that SQL can express, over the whole tables, by the plain definition of the cases."""
 
-SQL: dict[str, str] = {}
+from granary.llm.lookalikes import mapping
+
+_SOURCE, _TARGET = (x.replace("'", "''") for x in mapping())
+
+
+def _form(column: str) -> str:
+    return f"nfc_normalize(translate({column}, '{_SOURCE}', '{_TARGET}'))"
+
+
+_FIELDS = """
+    f AS (SELECT DISTINCT 'question_bank_candidate' AS table_name, id AS record_id, stem AS x FROM question_bank_candidate WHERE length(stem) >= 200
+          UNION SELECT 'question_bank_candidate', id, explanation FROM question_bank_candidate WHERE length(explanation) >= 200
+          UNION SELECT 'chunks', rag_input_id, content FROM chunks WHERE length(content) >= 200)"""
+_FLAT = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+SQL: dict[str, str] = {
+    "p1_found": r"""
+        WITH t AS (SELECT DISTINCT id, lower(concat_ws(' ', stem, option_1, explanation)) AS x FROM question_bank_candidate),
+        w AS (SELECT id, unnest(regexp_extract_all(x, '[\p{L}\p{N}_]+')) AS w FROM t),
+        c AS (SELECT id, w, count(*) AS n FROM w GROUP BY ALL),
+        s AS (SELECT id, sum(n) AS size FROM c GROUP BY id HAVING sum(n) >= 40),
+        k AS (SELECT c.* FROM c JOIN s USING (id)),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.n, b.n)) AS shared FROM k a JOIN k b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+        SELECT id_a, id_b FROM p JOIN s sa ON sa.id = id_a JOIN s sb ON sb.id = id_b WHERE shared >= 0.7 * (sa.size + sb.size - shared)""",
+    "p2_found": f"""
+        SELECT DISTINCT 'chunks' AS table_name, rag_input_id AS record_id, 'content' AS field_name FROM chunks WHERE {_form('content')} <> content
+        UNION SELECT 'chunks', rag_input_id, 'mapped_detail' FROM chunks WHERE {_form('mapped_detail')} <> mapped_detail
+        UNION SELECT 'exam_scope', id, 'detail' FROM exam_scope WHERE {_form('detail')} <> detail""",
+    "p3_found": "SELECT DISTINCT id FROM source_chunk WHERE length(content) > 1400",
+    "p7_found": f"""
+        WITH {_FIELDS},
+        w AS (SELECT table_name, record_id, md5(substring(x, CAST(i AS INT), 200)) AS h FROM (SELECT *, unnest(range(1, length(x) - 198)) AS i FROM f)),
+        s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT table_name || record_id) > 1)
+        SELECT DISTINCT table_name, record_id FROM w WHERE h IN (SELECT h FROM s)""",
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {_FLAT.format('text')} AS x FROM documents), e AS (SELECT item_id, {_FLAT.format('item_text')} AS x FROM eval_items),
+        a AS (SELECT DISTINCT doc_id, substring(x, CAST(i AS INT), 100) AS h FROM (SELECT *, unnest(range(1, length(x) - 98)) AS i FROM d WHERE length(x) >= 100)),
+        b AS (SELECT DISTINCT item_id, substring(x, CAST(i AS INT), 100) AS h FROM (SELECT *, unnest(range(1, length(x) - 98)) AS i FROM e WHERE length(x) >= 100))
+        SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (h)""",
+}
