@@ -112,4 +112,6 @@ def pair_defects(df: DataFrame, id_column: str, stem: str, explanation: str, ans
         "truncated": (F.trim(e) != "") & is_truncated(e),
     }
     defects = F.array_compact(F.array(*[F.when(found[name], F.lit(name)) for name in DEFECTS]))
-    return df.select(F.col(id_column), defects.alias("defects")).filter(F.size("defects") > 0).withColumn("defect", F.col("defects")[0])
+    # The explode keeps the rules from being evaluated anew for the filter and for each column made of them.
+    found = df.select(F.col(id_column), F.explode(F.array(defects)).alias("defects")).filter(F.size("defects") > 0)
+    return found.withColumn("defect", F.col("defects")[0])
