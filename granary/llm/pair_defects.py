@@ -17,22 +17,22 @@ PLACEHOLDERS = (
     "미작성", "미정", "미기재", "없음", "해설없음", "설명없음", "해당없음", "작성예정", "추후작성", "추후입력", "추후기재", "입력예정",
     "해설준비중", "준비중", "작성중", "해설미작성", "내용없음", "해설예정", "해설추후입력", "해설작성예정",
 )
-# Phrases by which a text declines.
+# Phrases by which a text declines, in lower case.
 REFUSALS = (
     r"(말씀|알려|설명|답변|도와|안내|제공|작성|풀이|해설|생성|응답|공개|드리|드릴|답)\S{0,6}\s?(지 못합니다|지 않겠습니다|지 않습니다|기 어렵습니다|기 곤란합니다|수 없습니다|수 없어요|수 없음을|수가 없습니다|지 못해|기는 어렵습니다)",
     r"(생성|응답|답변|작성|제공|해설|설명|공개)\S{0,2} (거부|거절|사양)(합니다|하겠습니다|할게요)",
     r"(응답|답변|제공|작성|설명|공개)\S{0,2} (제한됩니다|제한되어 있습니다|불가합니다|불가능합니다|금지되어 있습니다)",
-    r"(저는|나는) (인공지능|AI|언어 모델|챗봇)",
+    r"(저는|나는) (인공지능|ai|언어 모델|챗봇)",
     r"\bas an? (ai|artificial|language model|large language)",
     r"\b(i|we)\s?( am|'m|’m| are|'re|’re)? ?(sorry|unable|not able|afraid)\b",
     r"\b(i|we) (cannot|can't|can’t|can not|won't|won’t|will not|must decline|decline|refuse|have to decline|am not permitted|am not allowed|do not feel)\b",
     r"\b(unable|not able|not permitted|not allowed) to (help|assist|answer|write|provide|explain|comply|fulfil|fulfill|respond|discuss|share|generate|give)\b",
     r"\b(cannot|can't|can’t|can not|won't|won’t) (help|assist|answer|write|provide|explain|comply|fulfil|fulfill|respond|discuss|share|generate|give)\b",
     r"(申し訳|恐れ入り|すみません)|(お答え|回答|説明|お手伝い|提供|対応|作成|生成)(は|を|が)?\S{0,4}(できません|できかねます|いたしかねます|控えさせ|お断り|しかねます)",
-    r"(抱歉|对不起|對不起|很遗憾|不好意思)|(无法|無法|不能|拒绝|不便)(为您|为你|對您)?(提供|回答|解释|回应|协助|帮助|完成|撰写|生成|说明|给出)|作为(一个|一名)?(人工智能|AI|语言模型)",
+    r"(抱歉|对不起|對不起|很遗憾|不好意思)|(无法|無法|不能|拒绝|不便)(为您|为你|對您)?(提供|回答|解释|回应|协助|帮助|完成|撰写|生成|说明|给出)|作为(一个|一名)?(人工智能|ai|语言模型)",
     r"\b(lo siento|no puedo|désolé|je ne peux|ne puis|es tut mir leid|kann ich nicht|ich kann nicht|não posso|desculpe|không thể|xin lỗi)\b",
 )
-REFUSAL = "(?iu)" + "|".join(f"(?:{p})" for p in REFUSALS)
+REFUSAL = "|".join(f"(?:{p})" for p in REFUSALS)
 LEAD = r"^\s*(?:[\[(<【]?\s*(?:해설|정답\s?해설|풀이|설명|explanation|answer)\s*[\])>】]?\s*[:：]?\s*)+"
 NOTE = r"\s*(?:[(\[](?:근거|출처|참고|참조)\s*[:：][^()\[\]]*[)\]]|\n\s*(?:※|\*|[-•])\s*(?:참고|근거|출처|주)\s*[:：][^\n]*)\s*$"
 ASKED = r"(?:을|를)? 묻는 (?:문항|문제|질문)(?:이다|입니다|임)?\s*[.]?\s*$"
@@ -58,7 +58,7 @@ def is_empty(explanation: Column, answer: Column) -> Column:
 
 
 def is_refusal(explanation: Column) -> Column:
-    return explanation.rlike(REFUSAL)
+    return F.lower(explanation).rlike(REFUSAL)
 
 
 def is_other_language(stem: Column, explanation: Column) -> Column:
@@ -77,7 +77,8 @@ def is_copy(stem: Column, explanation: Column, options: list[Column]) -> Column:
     flat, of_stem = squeezed(body), squeezed(stem)
     rest = F.replace(flat, of_stem, F.lit(""))
     for option in options:
-        rest = F.when(F.length(squeezed(option)) > 1, F.replace(rest, squeezed(option), F.lit(""))).otherwise(rest)
+        sought = squeezed(option)
+        rest = F.replace(rest, F.when(F.length(sought) > 1, sought).otherwise(F.lit("\x00")), F.lit(""))
     holds = (F.length(of_stem) >= 10) & F.contains(flat, of_stem) & (F.length(rest) <= F.greatest(F.lit(8), 0.1 * F.length(flat)))
     inside = (F.length(flat) >= 12) & F.contains(of_stem, flat)
     known = words(F.concat_ws(" ", stem, *options))
