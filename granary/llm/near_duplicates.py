@@ -8,7 +8,7 @@ intersections must hold. With 5 orders a filter and 56 filters a pair at similar
 pair, then thins the candidates, and exact multiset similarity verifies them.
 
 Records with the same words are one class with one representative, so a group of copies, however large, costs one row a
-class from there on.
+class until the pairs of all members are written out at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,16 +139,18 @@ def near_duplicates(
     return members.join(first, "class").select("id", "class", "representative"), named.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
 
 
-def expanded_links(members: DataFrame, links: DataFrame, heads_each: int = 16) -> DataFrame:
-    """Links of all records: each links to the first ``heads_each`` members of its own class and of every linked class.
+def expanded_links(members: DataFrame, links: DataFrame, part: int = 1_000) -> DataFrame:
+    """(id_a, id_b) of every two records that agree: all pairs within a class and between the members of linked classes.
 
-    A class of c copies with l linked classes adds at most heads_each * c * (l + 1) rows, never its pairs among themselves;
-    classes of up to ``heads_each`` copies come out in full, larger ones through their heads, which all members share.
+    The result grows with the product of the class sizes, as the pairs do; ``near_duplicates`` itself is the form that
+    stays linear. A class of more than ``part`` members is met in parts of about that size, so that no task has all its
+    pairs.
     """
-    order = Window.partitionBy("representative").orderBy("id")
-    heads = members.select("id", "representative", F.row_number().over(order).alias("n")).filter(F.col("n") <= heads_each)
-    heads = heads.select(F.col("id").alias("head"), F.col("representative").alias("id_b"))
-    own = members.filter(F.col("id") != F.col("representative")).select(F.col("representative").alias("id_a"), F.col("representative").alias("id_b"))
-    both = links.select("id_a", "id_b").unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).unionByName(own.distinct())
-    pairs = members.select("id", F.col("representative").alias("id_a")).join(both, "id_a").join(heads, "id_b").filter(F.col("id") != F.col("head"))
-    return pairs.select(F.least("id", "head").alias("id_a"), F.greatest("id", "head").alias("id_b")).distinct()
+    sizes = members.groupBy("representative").agg(F.count("*").alias("n"), F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    own = sizes.filter("n > 1").select(F.col("representative").alias("id_a"), F.col("representative").alias("id_b"))
+    met = links.select("id_a", "id_b").unionByName(own).join(sizes.select(F.col("representative").alias("id_b"), "parts"), "id_b")
+    left = members.select("id", F.col("representative").alias("id_a")).join(met, "id_a")
+    left = left.select("id", "id_b", (F.col("id_a") == F.col("id_b")).alias("own"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    right = members.join(sizes, "representative").select(F.col("id").alias("other"), F.col("representative").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["id_b", "part"]).filter((F.col("id") < F.col("other")) | ~F.col("own") & (F.col("id") > F.col("other")))
+    return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

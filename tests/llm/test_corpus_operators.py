@@ -52,6 +52,20 @@ def test_a_class_of_many_copies_grows_with_its_copies(spark):
     assert near_duplicates.expanded_links(members, pairs).count() <= 2 * 16 * 61
 
 
+@pytest.mark.parametrize("options", [{}, {"part": 7}])
+def test_large_linked_classes_come_out_in_full(spark, options):
+    rng = random.Random(5)
+    words, more = WORDS[:50], [*WORDS[:50], "말399"]
+    texts = {f"a{i:02d}": rng.sample(words, 50) for i in range(40)} | {f"b{i:02d}": rng.sample(more, 51) for i in range(20)} | {f"c{i:02d}": more for i in range(20)}
+    texts |= {f"d{i:02d}": WORDS[200:250] for i in range(20)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id string, t string")
+    members, pairs = near_duplicates.near_duplicates(df, "id", ["t"])
+    got = [(r.id_a, r.id_b) for r in near_duplicates.expanded_links(members, pairs, **options).collect()]
+    ids = sorted(texts)
+    want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if similarity(texts[a], texts[b]) >= 0.7}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 80 * 79 // 2 + 20 * 19 // 2
+
+
 def test_components(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")]
     got = {r.id: r.group for r in links.connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
