@@ -100,12 +100,20 @@ def _passage_fields(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+P7_RECORD = ["table_name", "record_id"]
+P7_KEY = [*P7_RECORD, "field_name"]
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_spans(_passage_fields(spark, d), P7_KEY, P7_RECORD, "text", passage_column="passage")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.covered_shares(_passage_fields(spark, d), P7_KEY, P7_RECORD, "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _passage_fields(spark, d)
-    record = F.xxhash64("table_name", "record_id")
-    found = shared_spans.shared_windows(rows.select(F.lit(0).cast("long").alias("row"), record.alias("record"), "text"), 200).select("record").distinct()
-    names = rows.select("table_name", "record_id").distinct().withColumn("record", record)
-    return names.join(found, "record", "left_semi").select("table_name", "record_id")
+    return p7_shares(spark, d).filter("covered > 0").select(*P7_RECORD)
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.scans import small
+from granary.session import cut_lineage
+
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SLICE = 1 << 20
 
@@ -161,19 +164,43 @@ def shared_windows(rows: DataFrame, length: int, period: int = 133, bits: int =
     return windows.join(both, ["h1", "h2"], "left_semi").select("row", "record", "place")
 
 
-def shared_spans(df: DataFrame, key_columns: list[str], record_columns: list[str], text_column: str, length: int = 200) -> DataFrame:
+def _keyed(df: DataFrame, key_columns: list[str], record_columns: list[str], text_column: str) -> DataFrame:
+    return df.select(*key_columns, F.col(text_column).alias("text"), F.xxhash64(*key_columns).alias("row"), F.xxhash64(*record_columns).alias("record"))
+
+
+def _spans(keyed: DataFrame, length: int) -> DataFrame:
+    """(record, row, start, stop) of the maximal spans, written down once as both the sums and the names need them."""
+    windows = shared_windows(keyed.select("row", "record", "text"), length)
+    spans = windows.groupBy("record", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    spans = spans.select("record", "row", F.explode(merged(F.col("places"), length)).alias("span"))
+    return cut_lineage(spans.select("record", "row", "span.start", "span.stop"))
+
+
+def shared_spans(df: DataFrame, key_columns: list[str], record_columns: list[str], text_column: str, length: int = 200, passage_column: str | None = None) -> DataFrame:
     """Keys, start, stop of the maximal spans made of shared windows, one row a span; rows without one are left out.
 
     A record is what ``record_columns`` name (part of ``key_columns``, which name one text); the passage must stand in
     another record, so a passage repeated within one record alone is not shared. Null, empty and short texts have no
-    span. Repeated rows count once. Places are code points from 0, ``stop`` excluded. Other columns are ignored.
+    span. Repeated rows count once. Places are code points from 0, ``stop`` excluded. ``passage_column`` adds the
+    characters of the span under that name. Other columns are ignored.
+    """
+    keyed = _keyed(df, key_columns, record_columns, text_column)
+    spans = small(_spans(keyed, length).select("row", "start", "stop"))
+    passage = [F.expr("substring(text, start + 1, stop - start)").alias(passage_column)] if passage_column else []
+    return keyed.join(spans, "row").select(*key_columns, "start", "stop", *passage).distinct()
+
+
+def covered_shares(df: DataFrame, key_columns: list[str], record_columns: list[str], text_column: str, length: int = 200) -> DataFrame:
+    """A row for each record: characters, those that ``shared_spans`` cover, and the share they are (0 without any text).
+
+    The characters of a record are those of all its texts. Repeated rows count once.
     """
-    keyed = df.select(*key_columns, F.col(text_column).alias("text"), F.xxhash64(*key_columns).alias("row"), F.xxhash64(*record_columns).alias("record"))
-    windows = shared_windows(keyed.select("row", "record", "text"), length).select("row", "place").distinct()
-    spans = windows.groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    spans = spans.select("row", F.explode(merged(F.col("places"), length)).alias("span")).select("row", "span.start", "span.stop")
-    names = keyed.select(*key_columns, "row").distinct()
-    return names.join(spans, "row").drop("row")
+    keyed = _keyed(df, key_columns, record_columns, text_column)
+    covered = small(_spans(keyed, length).groupBy("record").agg(F.sum(F.col("stop") - F.col("start")).alias("covered")))
+    sizes = keyed.select(*key_columns, "record", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct()
+    records = sizes.groupBy("record", *record_columns).agg(F.sum("n").alias("characters")).join(covered, "record", "left")
+    share = F.coalesce(F.try_divide("covered", "characters"), F.lit(0.0))
+    return records.select(*record_columns, "characters", F.coalesce("covered", F.lit(0)).alias("covered"), share.alias("share"))
 
 
 def merged(places: Column, length: int) -> Column:

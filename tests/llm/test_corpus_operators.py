@@ -108,6 +108,36 @@ def test_shared_spans_against_all_windows(spark):
     assert shared_spans.shared_spans(df.limit(0), ["record_id"], ["record_id"], "text").count() == 0
 
 
+def test_shares_and_passages_of_records(spark):
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choice("가나다라마바사아자차카타파하 ") for _ in range(n))
+
+    one, two = noise(240), noise(200)
+    texts = [("c", "1", "stem", noise(60)), ("c", "1", "explanation", noise(100) + one + noise(40) + two), ("c", "2", "stem", None), ("c", "2", "explanation", one), ("k", "1", "content", two + noise(199))]
+    texts += [("k", "2", "content", noise(300)), ("k", "3", "content", None), ("k", "4", "content", one[:-41])]
+    df = spark.createDataFrame(texts + texts[:5], "table_name string, record_id string, field_name string, text string")
+    keys, record = ["table_name", "record_id", "field_name"], ["table_name", "record_id"]
+    got = [(r.table_name + r.record_id, r.characters, r.covered, r.share) for r in shared_spans.covered_shares(df, keys, record, "text").collect()]
+    assert sorted(got) == [("c1", 640, 440, 440 / 640), ("c2", 240, 240, 1.0), ("k1", 399, 200, 200 / 399), ("k2", 300, 0, 0.0), ("k3", 0, 0, 0.0), ("k4", 199, 0, 0.0)]
+    spans = [(r.table_name + r.record_id, r.start, r.stop, r.passage) for r in shared_spans.shared_spans(df, keys, record, "text", passage_column="passage").collect()]
+    assert sorted(spans) == [("c1", 100, 340, one), ("c1", 380, 580, two), ("c2", 0, 240, one), ("k1", 0, 200, two)]
+    assert shared_spans.covered_shares(df.limit(0), keys, record, "text").count() == 0
+
+
+def test_passage_queries_hold_shares_and_passages(spark, tmp_path):
+    from granary.llm import queries
+
+    passage = "".join(chr(0xAC00 + i) for i in range(210))
+    spark.createDataFrame([("q", "짧은 물음", passage + "끝", 1), ("r", "물음", None, 1)], "id string, stem string, explanation string, answer int").write.parquet(f"{tmp_path}/question_bank_candidate.parquet")
+    spark.createDataFrame([("k", "앞 " + passage)], "rag_input_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    found = queries.queries()
+    assert {(r.record_id, r.field_name, r.start, r.stop, r.passage) for r in found["p7_spans"](spark, str(tmp_path)).collect()} == {("q", "explanation", 0, 210, passage), ("k", "content", 2, 212, passage)}
+    assert {(r.record_id, round(r.share, 6)) for r in found["p7_shares"](spark, str(tmp_path)).collect()} == {("q", round(210 / 216, 6)), ("r", 0.0), ("k", round(210 / 212, 6))}
+    assert {r.record_id for r in found["p7_found"](spark, str(tmp_path)).collect()} == {"q", "k"}
+
+
 def test_leaks_against_all_runs(spark):
     rng = random.Random(4)
     letters = "가나다라마바사아자차카타파하abcdefg0123456789"
