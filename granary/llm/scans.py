@@ -198,24 +198,39 @@ DOUBTFUL_WORD = "[" + "".join(SYLLABLES) + "bc]|rn|ii|vv"
 BREAKS = r"(?:[가-힣]+|[A-Za-z]+)\n(?:[가-힣]+|[A-Za-z]+)"
 
 
+def weighted(texts: DataFrame) -> DataFrame:
+    """``text`` of all rows with ``weight``, one by the number of rows with the same text; the texts don't move."""
+    hashed = texts.select("text", F.xxhash64("text").alias("h"))
+    copies = small(cut_lineage(hashed.groupBy("h").agg(F.count("*").alias("copies")).filter("copies > 1")))
+    return hashed.join(copies, "h", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
 class Lexicon:
-    """Word counts over all texts, the misread words and the words cut at a line end that follow from them."""
+    """Word counts over all texts, the misread words and the words cut at a line end that follow from them.
+
+    ``n`` are the distinct texts with a word, so that copies of one page can't outvote the right spelling, ``uses`` all its
+    occurrences; a right form has to be frequent enough by either.
+    """
 
     def __init__(self, texts: DataFrame, common: int = 20, times: int = 20):
-        words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("word"))
-        self.counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")))
-        likely = self.counts.select(F.col("word").alias("right"), F.col("n").alias("m")).filter(F.col("m") >= common)
+        words = weighted(texts).select("weight", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+        words = words.select("weight", F.posexplode(F.array(F.array_distinct("words"), F.col("words"))).alias("again", "words"))
+        words = words.select(F.when(F.col("again") == 0, F.col("weight")).otherwise(0.0).alias("weight"), "again", F.explode("words").alias("word"))
+        self.counts = cut_lineage(words.groupBy("word").agg(F.round(F.sum("weight")).cast("long").alias("n"), F.sum("again").alias("uses")))
+        likely = self.counts.select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("uses").alias("m_uses")).filter(F.col("m_uses") >= common)
         doubtful = self.counts.filter((F.length("word") > 1) & F.col("word").rlike(DOUBTFUL_WORD))
-        options = doubtful.select("word", "n", F.explode(variants_udf("word")).alias("right"))
-        found = options.join(likely, "right").filter(F.col("m") >= times * F.col("n"))
-        self.misread = cut_lineage(found.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right")))
+        options = doubtful.select("word", "n", "uses", F.explode(variants_udf("word")).alias("right"))
+        found = options.join(likely, "right").filter((F.col("m") >= common) & (F.col("m") >= times * F.col("n")) | (F.col("m_uses") >= times * F.col("uses")))
+        self.misread = cut_lineage(found.groupBy("word").agg(F.max_by("right", F.struct("m", "m_uses", "right")).alias("right")))
         pairs = texts.filter(F.col("text").contains("\n")).select(F.explode(F.regexp_extract_all("text", F.lit(BREAKS), F.lit(0))).alias("pair"))
         pairs = pairs.groupBy("pair").agg(F.count("*").alias("k"))
         ends = pairs.select("pair", F.substring_index("pair", "\n", 1).alias("x"), F.substring_index("pair", "\n", -1).alias("y"))
-        whole = self.counts.filter("n >= 3").select(F.col("word").alias("w"), F.col("n").alias("m"))
+        whole = self.counts.filter("uses >= 3").select(F.col("word").alias("w"), F.col("n").alias("m"), F.col("uses").alias("m_uses"))
         tried = ends.withColumn("w", F.concat("x", "y")).join(whole, "w")
-        tried = tried.join(self.counts.select(F.col("word").alias("x"), F.col("n").alias("nx")), "x").join(self.counts.select(F.col("word").alias("y"), F.col("n").alias("ny")), "y")
-        self.cuts = cut_lineage(tried.filter(F.col("m") >= 3 * F.least("nx", "ny")).select("pair"))
+        for end in ("x", "y"):
+            tried = tried.join(self.counts.select(F.col("word").alias(end), F.col("n").alias(f"n{end}"), F.col("uses").alias(f"u{end}")), end)
+        distinct = (F.col("m") >= 3) & (F.col("m") >= 3 * F.least("nx", "ny"))
+        self.cuts = cut_lineage(tried.filter(distinct | (F.col("m_uses") >= 3 * F.least("ux", "uy"))).select("pair"))
 
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -233,14 +248,14 @@ def traces_udf(sections: list[str]):
     return traces
 
 
-def scanned_rows(df: DataFrame, key_columns: list[str], text_column: str, sections: list[str]) -> DataFrame:
+def scanned_rows(df: DataFrame, key_columns: list[str], text_column: str, sections: list[str], lexicon: Lexicon | None = None) -> DataFrame:
     """The distinct keys of the rows that hold a trace of a scanned page.
 
-    Null and empty texts have none. ``sections`` are names that running headers carry (at most a few thousand). Repeated
+    Null and empty texts have none. ``lexicon`` is that of the rows, made here if not given. ``sections`` are names that running headers carry (at most a few thousand). Repeated
     rows count once; other columns are ignored.
     """
     rows = df.select(*key_columns, F.col(text_column).alias("text")).filter(F.length("text") > 0)
-    lexicon = Lexicon(rows)
+    lexicon = lexicon or Lexicon(rows)
     alone = rows.filter(traces_udf(sections)("text")).select(*key_columns)
     words = rows.filter(F.col("text").rlike(DOUBTFUL_WORD)).select(*key_columns, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))).alias("word"))
     words = words.filter(F.col("word").rlike(DOUBTFUL_WORD))
@@ -254,7 +269,7 @@ def repaired_texts(df: DataFrame, key_columns: list[str], text_column: str, sect
     """The affected rows' keys with ``repaired``, their text as readable paragraphs; other rows have no row here."""
     rows = df.select(*key_columns, F.col(text_column).alias("text")).filter(F.length("text") > 0)
     lexicon = Lexicon(rows)
-    affected = rows.join(scanned_rows(df, key_columns, text_column, sections), key_columns, "left_semi").dropDuplicates(key_columns)
+    affected = rows.join(scanned_rows(df, key_columns, text_column, sections, lexicon), key_columns, "left_semi").dropDuplicates(key_columns)
     affected = cut_lineage(affected)
     words = affected.select(*key_columns, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))).alias("word"))
     fixes = words.join(small(lexicon.misread), "word").groupBy(*key_columns).agg(F.collect_list(F.concat_ws("\t", "word", "right")).alias("fixes"))

@@ -105,3 +105,14 @@ def test_scan_words_of_all_rows(spark):
     mended = {r.id: r.repaired for r in scans.repaired_texts(df, ["id"], "text", []).collect()}
     assert mended == {"misread": "선량을 조정한다. 단위를 본다.", "cut": plain}
     assert scans.scanned_rows(df.limit(0), ["id"], "text", []).count() == 0
+
+
+def test_copies_of_a_scanned_text_do_not_outvote_the_right_words(spark):
+    rows = [(f"plain{i}", f"선량을 조정한다. 모니터 단위 {i}번을 본다.") for i in range(60)]
+    rows += [(f"misread{i:02d}", "선량을 초징한다. 단위를 본다.") for i in range(40)] + [("other", "다시 초징한다.")]
+    rows += [(f"cut{i:02d}", "선량을 조정한다. 모니\n터 단위를 본다.") for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = [f"misread{i:02d}" for i in range(40)] + [f"cut{i:02d}" for i in range(40)] + ["other"]
+    assert found(scans.scanned_rows(df, ["id"], "text", []), "id") == sorted((i,) for i in want)
+    mended = {r.id: r.repaired for r in scans.repaired_texts(df, ["id"], "text", []).collect()}
+    assert mended["misread07"] == "선량을 조정한다. 단위를 본다." and mended["cut07"] == "선량을 조정한다. 모니터 단위를 본다." and mended["other"] == "다시 조정한다."
