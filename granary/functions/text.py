@@ -74,6 +74,16 @@ def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
+def comparable(x: Column) -> Column:
+    """Lower case, collapsed, without marks but ``.``, ``%``, ``+`` and ``-``."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)\s+", " "), r"(?U)[^\w\s.%+-]", ""))
+
+
+def contains_text(a: Column, b: Column, least: int = 12) -> Column:
+    """Whether ``a``, of at least ``least`` characters, stands in ``b``, both in comparable form."""
+    return (F.length(comparable(a)) >= least) & F.contains(comparable(b), comparable(a))
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity by matching blocks, as the standard library counts it: the order of the arguments matters."""

@@ -107,13 +107,14 @@ def unsupported_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Explanation against its evidence chunk by matching blocks, where the character counts leave 0.3 possible."""
+    """Explanation against its evidence chunk by matching blocks, every pair; 1 where the chunk contains the explanation."""
     candidates = read_table(spark, d, "question_bank_candidate").select(F.col("id").alias("candidate_id"), X.collapsed(F.col("explanation")).alias("a")).dropna().dropDuplicates(["candidate_id"])
     evidence = read_table(spark, d, "question_bank_candidate_evidence").select("candidate_id", "rag_input_id").dropna().distinct()
     chunks = read_table(spark, d, "chunks").select("rag_input_id", X.collapsed(F.col("content")).alias("b")).dropna().dropDuplicates(["rag_input_id"])
     pairs = candidates.join(evidence, "candidate_id").join(chunks, "rag_input_id")
-    possible = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
-    return pairs.filter(possible >= 0.3).select("candidate_id", "rag_input_id", F.round(X.sequence_ratio("a", "b"), 6).alias("ratio"))
+    contained = X.contains_text(F.col("a"), F.col("b"))
+    compared = X.sequence_ratio(F.when(~contained, F.col("a")), F.when(~contained, F.col("b")))
+    return pairs.select("candidate_id", "rag_input_id", F.round(F.when(contained, 1.0).otherwise(compared), 6).alias("ratio"))
 
 
 def semantic_segments(spark: SparkSession, d: str) -> DataFrame:

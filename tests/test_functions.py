@@ -66,3 +66,19 @@ def test_ids_and_hashes(spark):
 def test_shuffle_can_be_undone():
     order = V.shuffled("session-1|q1", 5)
     assert sorted(order) == [0, 1, 2, 3, 4] and order == V.shuffled("session-1|q1", 5)
+
+
+def test_similarity_pairs_are_all_pairs(spark, tmp_path):
+    from granary.plans import texts
+
+    lifted = "선량은 거리의 제곱에 반비례한다"
+    long = "가나다라마바사 " * 40
+    explanations = {"q1": lifted + "!", "q2": "짧은 글", "q3": long, "q4": "전혀 다른 설명 " * 3}
+    contents = {"k1": long + lifted + long, "k2": "서로 다른 긴 내용이다. " * 40, "k3": "짧은 글과 말"}
+    spark.createDataFrame(list(explanations.items()) + [("q5", None)], "id string, explanation string").write.parquet(f"{tmp_path}/question_bank_candidate.parquet")
+    spark.createDataFrame(list(contents.items()), "rag_input_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(q, k) for q in [*explanations, "q5"] for k in contents] * 2, "candidate_id string, rag_input_id string").write.parquet(f"{tmp_path}/question_bank_candidate_evidence.parquet")
+    got = {(r.candidate_id, r.rag_input_id): r.ratio for r in texts.similarity_pairs(spark, str(tmp_path)).collect()}
+    want = {(q, k): round(difflib.SequenceMatcher(None, a.strip(), b.strip()).ratio(), 6) for q, a in explanations.items() for k, b in contents.items()}
+    want["q1", "k1"] = want["q3", "k1"] = 1.0
+    assert got == want
