@@ -126,7 +126,8 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+    """Of the documents with a window like one of an item, those with an equal run of 100 letters and digits."""
+    return p9_leaks(spark, d).filter("run >= 100").select("doc_id", "item_id").distinct()
 
 
 def p10_mixtures(spark: SparkSession, d: str) -> DataFrame:
