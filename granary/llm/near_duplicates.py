@@ -91,7 +91,8 @@ def features_udf(least_words: int, filters: int, orders_each: int):
             rows.append((xxhash.xxh3_128_digest(tokens.tobytes()), len(tokens), low, high, tokens.view(np.int64), filter_keys(tokens, filters, orders_each)))
         return pd.DataFrame(rows, columns=[f.name for f in FEATURES])
 
-    return features
+    # Declared nondeterministic, so that the filter on its result does not make the planner evaluate it a second time.
+    return features.asNondeterministic()
 
 
 def joined_text(columns: list[str]) -> Column:
