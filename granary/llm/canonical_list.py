@@ -147,7 +147,8 @@ def mapper_udf(entries: list[tuple[str, str]], least: float) -> Callable:
         keys = [held[0].map(v) for v in uniques] + [None]
         return pd.Series([keys[c] for c in codes], dtype=object)
 
-    return mapped
+    # Declared nondeterministic, so that a filter on the key does not make the planner map each value twice.
+    return mapped.asNondeterministic()
 
 
 def map_to_list(
