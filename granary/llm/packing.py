@@ -49,7 +49,8 @@ def token_count(directory: str = TOKENIZERS, vocabulary: str = VOCABULARY):
         tokenizer = encoder(directory, vocabulary)
         return texts.map(lambda t: 0 if t is None else len(tokenizer.encode_ordinary(t.encode("utf-8", "replace").decode("utf-8"))))
 
-    return count
+    # Declared nondeterministic, so that the filter on the count does not make the planner tokenise each text twice.
+    return count.asNondeterministic()
 
 
 def fullest(sizes: list[int], counts: list[int], capacity: int) -> tuple[int, ...]:
