@@ -6,8 +6,10 @@ passage. Anchors met in two records are then extended: every window of ``length`
 hashed in 96 bits, and those met in two records are the shared characters.
 
 Nothing is paired: hashes are aggregated before they move, so a passage in a third of all records costs one row a task.
-The shared anchors go back to the texts as a bitmap of fixed size, which lets no shared anchor through unseen; what it
-lets through too much is told apart by the second, exact grouping.
+The shared hashes go back to the texts as a Bloom filter, sized from their count so that about one place in a thousand
+passes unduly (``FILTER_BITS`` and ``FILTER_PROBES``); it lets no shared hash through unseen, and what passes unduly is
+told apart by the exact grouping and join after it. Where the filter would exceed ``most_bits``, places travel to the
+texts by a shuffled semi join, and windows straight to the join, so that the work stays linear at any size.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from granary.session import cut_lineage
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SLICE = 1 << 20
+FILTER_BITS = 24  # bits a hash
+FILTER_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F], np.uint64)
 
 
 def difference_cover(period: int) -> list[int]:
@@ -106,62 +110,123 @@ def anchors_of(length: int, period: int, cover: list[int]):
     return run
 
 
-def windows_of(length: int, period: int, cover: list[int], bitmap, bits: int):
+class Filter:
+    """A Bloom filter over 64-bit hashes."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for probe in FILTER_PROBES:
+            index = (hashes[out] * probe) >> np.uint64(64 - self.bits)
+            out[out] = (self.words[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
+def filter_of(hashes: DataFrame, most_bits: int) -> Filter | None:
+    """A filter of the ``hash`` column sized from its count, at most 2^(most_bits - 6) words; None beyond that."""
+    bits = max(12, (max(1, hashes.count()) * FILTER_BITS - 1).bit_length())
+    if bits > most_bits:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("hash").to_numpy().view(np.uint64)
+            index = np.sort(((own[:, None] * FILTER_PROBES) >> np.uint64(64 - bits)).ravel())
+            word, bit = (index >> np.uint64(6)).view(np.int64), np.uint64(1) << (index & np.uint64(63))
+            begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))[: len(word)]
+            merged_bits = np.bitwise_or.reduceat(bit, begins) if len(begins) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[begins]), pa.array(merged_bits.view(np.int64))], ["word", "bits"])
+
+    found = hashes.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return Filter(bits, words)
+
+
+def anchor_hits(length: int, period: int, cover: list[int]):
+    """Hash, row and place of every anchor, for the join beyond the size of a filter."""
     window = length - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = Hasher(BASES[0]), Hasher(BASES[1])
-        marked = bitmap.value
+        hasher = Hasher(BASES[0])
         for batch in batches:
             for part, codes, starts, sizes in slices(batch):
                 rows, at = anchor_places(starts, sizes, period, cover, window)
+                hashes = hasher.windows(hasher.prefix(codes), at, window).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), part.column("row").take(pa.array(rows)), pa.array((at - starts[rows]).astype(np.int32))], ["hash", "row", "place"])
+
+    return run
+
+
+def windows_of(length: int, period: int, cover: list[int], anchors, windows):
+    """Windows over the anchors that pass ``anchors`` (or that stand in ``places``), thinned by the filter ``windows``."""
+    window = length - period + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = Hasher(BASES[0]), Hasher(BASES[1])
+        for batch in batches:
+            for part, codes, starts, sizes in slices(batch):
                 prefix = first.prefix(codes)
-                index = first.windows(prefix, at, window) >> np.uint64(64 - bits)
-                hit = (marked[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) > 0
-                rows, at = rows[hit], at[hit]
+                if anchors is None:
+                    places = part.column("places")
+                    rows = np.repeat(np.arange(len(sizes)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+                    at = places.flatten().to_numpy().astype(np.int64) + starts[rows]
+                else:
+                    rows, at = anchor_places(starts, sizes, period, cover, window)
+                    hit = anchors.value.marked(first.windows(prefix, at, window))
+                    rows, at = rows[hit], at[hit]
                 if not len(at):
                     continue
                 low = np.maximum(at - (length - window), starts[rows])
                 high = np.minimum(at, starts[rows] + sizes[rows] - length) + 1
-                edges = np.zeros(len(codes) + 1, np.int32)
-                np.add.at(edges, low[low < high], 1)
-                np.add.at(edges, high[low < high], -1)
+                kept = low < high
+                edges = np.bincount(low[kept], minlength=len(codes) + 1) - np.bincount(high[kept], minlength=len(codes) + 1)
                 places = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+                h1 = first.windows(prefix, places, length)
+                if windows is not None:
+                    hit = windows.value.marked(h1)
+                    places, h1 = places[hit], h1[hit]
+                if not len(places):
+                    continue
                 owner = np.searchsorted(starts, places, side="right") - 1
-                h1 = first.windows(prefix, places, length).view(np.int64)
                 h2 = (second.windows(second.prefix(codes), places, length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                columns = [pa.array(h1), pa.array(h2), part.column("record").take(pa.array(owner)), part.column("row").take(pa.array(owner)), pa.array((places - starts[owner]).astype(np.int32))]
+                columns = [pa.array(h1.view(np.int64)), pa.array(h2), part.column("record").take(pa.array(owner)), part.column("row").take(pa.array(owner)), pa.array((places - starts[owner]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "record", "row", "place"])
 
     return run
 
 
-def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
-    """2^bits bits with those of the hashes' leading bits set: at most 2^(bits - 6) words reach the driver."""
-    index = F.shiftrightunsigned("hash", 64 - bits)
-    words = hashes.select(index.alias("i")).selectExpr("shiftright(i, 6) AS word", "shiftleft(1L, cast(i & 63 AS int)) AS bit")
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def shared_windows(rows: DataFrame, length: int, period: int = 133, bits: int = 26) -> DataFrame:
+def shared_windows(rows: DataFrame, length: int, period: int = 133, most_bits: int = 29) -> DataFrame:
     """(row, record, place) of every window of ``length`` characters that also stands in another record.
 
-    ``rows`` has ``row`` and ``record`` (long) and ``text``; texts shorter than ``length`` or null have no window.
+    ``rows`` has ``row`` and ``record`` (long) and ``text``; texts shorter than ``length`` or null have no window. Texts
+    are read three times (anchors, windows, shared windows) and, within ``most_bits``, never shuffled.
     """
-    spark = rows.sparkSession
+    context = rows.sparkSession.sparkContext
     if not 1 <= period < length:
         raise ValueError("the period must be smaller than the length")
     cover = difference_cover(period)
     long = rows.filter(F.length("text") >= length)
     anchors = long.select("record", "text").mapInArrow(anchors_of(length, period, cover), "hash long, record long")
-    shared = anchors.groupBy("hash").agg(F.min("record").alias("a"), F.max("record").alias("b")).filter("a < b").select("hash")
-    bitmap = spark.sparkContext.broadcast(bitmap_of(shared, bits))
-    windows = long.select("record", "row", "text").mapInArrow(windows_of(length, period, cover, bitmap, bits), "h1 long, h2 int, record long, row long, place int")
-    both = windows.groupBy("h1", "h2").agg(F.min("record").alias("a"), F.max("record").alias("b")).filter("a < b").select("h1", "h2")
-    return windows.join(both, ["h1", "h2"], "left_semi").select("row", "record", "place")
+    shared = cut_lineage(anchors.groupBy("hash").agg(F.min("record").alias("a"), F.max("record").alias("b")).filter("a < b").select("hash"))
+    fitting = filter_of(shared, most_bits)
+    texts, of_anchors = long.select("record", "row", "text"), None
+    if fitting is None:
+        hits = long.select("row", "text").mapInArrow(anchor_hits(length, period, cover), "hash long, row long, place int").join(shared, "hash", "left_semi")
+        texts = cut_lineage(texts.join(hits.groupBy("row").agg(F.array_distinct(F.collect_list("place")).alias("places")), "row"))
+    else:
+        of_anchors = context.broadcast(fitting)
+
+    def windows(of_windows) -> DataFrame:
+        return texts.mapInArrow(windows_of(length, period, cover, of_anchors, of_windows), "h1 long, h2 int, record long, row long, place int")
+
+    both = windows(None).groupBy("h1", "h2").agg(F.min("record").alias("a"), F.max("record").alias("b")).filter("a < b")
+    both = cut_lineage(both.select("h1", "h2"))
+    fitting = filter_of(both.select(F.col("h1").alias("hash")), most_bits)
+    found = windows(None if fitting is None else context.broadcast(fitting))
+    return found.join(both, ["h1", "h2"], "left_semi").select("row", "record", "place")
 
 
 def _keyed(df: DataFrame, key_columns: list[str], record_columns: list[str], text_column: str) -> DataFrame:

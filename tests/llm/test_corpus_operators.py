@@ -108,6 +108,23 @@ def test_shared_spans_against_all_windows(spark):
     assert shared_spans.shared_spans(df.limit(0), ["record_id"], ["record_id"], "text").count() == 0
 
 
+def test_windows_beyond_the_filter_size(spark):
+    rng = random.Random(12)
+    passage = ["".join(rng.choice("가나다라마바사 ") for _ in range(n)) for n in (200, 330, 260)]
+    texts = [(i, i // 2, "".join(rng.choice("아자차카타파하 ") for _ in range(rng.randint(0, 400))) + passage[i % 3] + "끝" * (i % 5)) for i in range(20)]
+    rows = spark.createDataFrame(texts, "row long, record long, text string")
+    within, beyond = (sorted(map(tuple, shared_spans.shared_windows(rows, 200, most_bits=n).collect())) for n in (29, 6))
+    assert within == beyond and len(within) >= 20
+
+
+def test_filters_pass_few_others(spark):
+    held = spark.createDataFrame([(int(x),) for x in np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 5_000)], "hash long")
+    found = shared_spans.filter_of(held, 29)
+    assert found.marked(np.array([r.hash for r in held.collect()], np.int64).view(np.uint64)).all()
+    assert found.marked(np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype=np.uint64)).mean() < 0.001
+    assert shared_spans.filter_of(held, 10) is None
+
+
 def test_shares_and_passages_of_records(spark):
     rng = random.Random(6)
 
@@ -150,7 +167,7 @@ def test_leaks_against_all_runs(spark):
     documents = [(i, text(rng.randint(0, 400)) + (held[i % 12][: rng.randint(60, 400)].upper().replace(" ", ", ") if i % 2 else "") + text(50)) for i in range(80)] + [(500, None), (501, "")]
     df = spark.createDataFrame([(i, t, "x") for i, t in documents + documents[:3]], "doc_id long, text string, item string")
     reference = spark.createDataFrame(items, "item_id string, item_text string")
-    got = {(r.id, r.item, r.run) for r in leakage.leaked_items(df, "doc_id", "text", reference, "item_id", "item_text").collect()}
+    got = {(r.id, r.item, r.run) for r in leakage.leaked_items(df, "doc_id", "text", reference, "item_id", "item_text").collect() if r.run >= 100}
     want = set()
     for i, t in documents:
         flat = leakage.squeezed(t or "")
@@ -226,3 +243,14 @@ def test_subjects_on_held_out_documents(spark):
     assert sum(found[i] == truth[i] for i in held) >= 0.97 * len(held)
     assert subjects.subject_mixtures(df.limit(0), "doc_id", "text", areas, "code", "description", labels, "doc_id", "code").count() == 0
     assert subjects.subject_mixtures(df, "doc_id", "text", areas.limit(0), "code", "description", labels, "doc_id", "code").count() == 0
+
+
+def test_leaks_with_small_edits_are_kept(spark):
+    rng = random.Random(21)
+    item, other = ("".join(chr(0xAC00 + rng.randrange(4_000)) for _ in range(n)) for n in (543, 900))
+    edited = "".join("힣" if i % 60 == 30 else c for i, c in enumerate(item))
+    df = spark.createDataFrame([(1, other[:300] + edited + other[300:]), (2, other), (3, other[:50] + item[100:250] + other[50:])], "doc_id long, text string")
+    reference = spark.createDataFrame([("A", item)], "item_id string, item_text string")
+    got = {r.id: r for r in leakage.leaked_items(df, "doc_id", "text", reference, "item_id", "item_text").collect()}
+    assert set(got) == {1, 3} and got[1].run == 59 and got[1].share > 0.1
+    assert got[3].run == 150 and 68 / 543 <= got[3].share <= 150 / 543
