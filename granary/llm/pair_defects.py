@@ -33,6 +33,12 @@ REFUSALS = (
     r"\b(lo siento|no puedo|désolé|je ne peux|ne puis|es tut mir leid|kann ich nicht|ich kann nicht|não posso|desculpe|không thể|xin lỗi)\b",
 )
 REFUSAL = "|".join(f"(?:{p})" for p in REFUSALS)
+# Every phrase above holds one of these: a cheap test before the long one.
+MAY_REFUSE = (
+    "니다", "없어요", "없음을", "못해", "할게요", "는 ai", "인공지능", "언어 모델", "챗봇", "sorry", "unable", "not ", "cannot", "can't", "can’t", "won't", "won’t", "afraid", "decline", "refuse", "as a ", "as an ",
+    "lo siento", "puedo", "désolé", "peux", "puis", "leid", "kann", "posso", "desculpe", "không", "xin",
+)
+CLOSING = "\"'”’」』)]】 \t\n\r\x0b\f"
 LEAD = r"^\s*(?:[\[(<【]?\s*(?:해설|정답\s?해설|풀이|설명|explanation|answer)\s*[\])>】]?\s*[:：]?\s*)+"
 NOTE = r"\s*(?:[(\[](?:근거|출처|참고|참조)\s*[:：][^()\[\]]*[)\]]|\n\s*(?:※|\*|[-•])\s*(?:참고|근거|출처|주)\s*[:：][^\n]*)\s*$"
 ASKED = r"(?:을|를)? 묻는 (?:문항|문제|질문)(?:이다|입니다|임)?\s*[.]?\s*$"
@@ -52,47 +58,48 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def is_empty(explanation: Column, answer: Column) -> Column:
-    said = squeezed(F.regexp_replace(explanation, "(?iu)" + LEAD, ""))
-    return answer.isNull() | ~answer.between(1, 5) | explanation.isNull() | (said == "") | said.isin(*PLACEHOLDERS) | squeezed(explanation).isin(*PLACEHOLDERS)
+def is_empty(said: Column, flat: Column, answer: Column) -> Column:
+    """``said`` is the squeezed explanation without its lead, ``flat`` with it."""
+    return answer.isNull() | ~answer.between(1, 5) | (said == "") | said.isin(*PLACEHOLDERS) | flat.isin(*PLACEHOLDERS)
 
 
-def is_refusal(explanation: Column) -> Column:
-    return F.lower(explanation).rlike(REFUSAL)
+def is_refusal(lowered: Column) -> Column:
+    may = lowered.rlike(r"[ぁ-ヿ一-鿿]")
+    for word in MAY_REFUSE:
+        may = F.contains(lowered, F.lit(word)) | may
+    return may & lowered.rlike(REFUSAL)
 
 
 def is_other_language(stem: Column, explanation: Column) -> Column:
     """The stem is Hangul, and of the explanation's letters hardly any are."""
     letters, hangul = count_of(explanation, r"\p{L}+"), count_of(explanation, r"[가-힣ᄀ-ᇿ]+")
-    return (count_of(stem, r"[가-힣ᄀ-ᇿ]+") * 2 > count_of(stem, r"\p{L}+")) & (letters >= 8) & (hangul < 0.2 * letters)
+    return (hangul < 0.2 * letters) & (letters >= 8) & (count_of(stem, r"[가-힣ᄀ-ᇿ]+") * 2 > count_of(stem, r"\p{L}+"))
 
 
-def is_copy(stem: Column, explanation: Column, options: list[Column]) -> Column:
+def is_copy(flat: Column, of_stem: Column, body: Column, stem: Column, options: list[Column]) -> Column:
     """What remains without the stem, the options and the naming of the answer is next to nothing.
 
     Either the squeezed stem stands in the explanation (or the reverse) and the rest is in the options, or nearly all the
-    explanation's words are words of the stem and the options.
+    explanation's words are words of the stem and the options. ``flat`` is the squeezed body; the options are looked at
+    only where the stem is in it or shares half its words.
     """
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(explanation, "(?iu)" + LEAD, ""), ASKED, ""), ANSWER_LINE, "")
-    flat, of_stem = squeezed(body), squeezed(stem)
     rest = F.replace(flat, of_stem, F.lit(""))
     for option in options:
         sought = squeezed(option)
         rest = F.replace(rest, F.when(F.length(sought) > 1, sought).otherwise(F.lit("\x00")), F.lit(""))
     holds = (F.length(of_stem) >= 10) & F.contains(flat, of_stem) & (F.length(rest) <= F.greatest(F.lit(8), 0.1 * F.length(flat)))
     inside = (F.length(flat) >= 12) & F.contains(of_stem, flat)
-    known = words(F.concat_ws(" ", stem, *options))
-    own = words(body)
-    same = (F.size(own) >= 5) & (F.size(F.array_except(own, known)) <= 0.15 * F.size(own)) & (F.size(F.array_intersect(own, words(stem))) >= 0.5 * F.size(words(stem)))
+    own, asked = words(body), words(stem)
+    same = (F.size(F.array_intersect(own, asked)) >= 0.5 * F.size(asked)) & (F.size(own) >= 5)
+    same = F.when(same, F.size(F.array_except(own, words(F.concat_ws(" ", stem, *options)))) <= 0.15 * F.size(own)).otherwise(False)
     return (F.length(of_stem) > 0) & (holds | inside | same)
 
 
-def is_truncated(explanation: Column) -> Column:
-    """The last sentence does not end, or a bracket stays open; a note after the text does not count as its end."""
-    text = F.trim(F.regexp_replace(explanation, NOTE, ""))
-    body = F.regexp_replace(text, r"[\"'”’」』)\]】\s]+$", "")
-    ends = body.rlike(r"(?:[^\d\s.…,][.。]|[!?！？。])$|(?:다|요|죠|까|[함음임됨])$") & ~body.rlike(r"(?:\.\.|…)$")
-    opened = F.coalesce(F.length(F.regexp_replace(text, r"[^(\[]", "")), F.lit(0)) > F.length(F.regexp_replace(text, r"[^)\]]", ""))
+def is_truncated(text: Column) -> Column:
+    """The last sentence does not end, or a bracket stays open; ``text`` is trimmed and without a note after it."""
+    tail = F.substring(F.rtrim(text, F.lit(CLOSING)), -4, 4)
+    ends = tail.rlike(r"(?:[^\d\s.…,][.。]|[!?！？。])$|(?:다|요|죠|까|[함음임됨])$") & ~tail.rlike(r"(?:\.\.|…)$")
+    opened = F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit("[")), F.length(F.translate(text, "([", "")) < F.length(F.translate(text, ")]", ""))).otherwise(False)
     return ~ends | opened
 
 
@@ -104,15 +111,22 @@ def pair_defects(df: DataFrame, id_column: str, stem: str, explanation: str, ans
     """
     s, e = F.coalesce(F.col(stem).cast("string"), F.lit("")), F.coalesce(F.col(explanation).cast("string"), F.lit(""))
     several = [F.coalesce(F.col(o).cast("string"), F.lit("")) for o in options]
-    empty = is_empty(e, F.col(answer))
+    # Each explode writes down once what the rules after it use several times; a projection would be evaluated anew.
+    parts = F.struct(s.alias("s"), e.alias("e"), F.array(*several).alias("o"), F.regexp_replace(e, "(?iu)" + LEAD, "").alias("said"))
+    rows = df.select(F.col(id_column).alias("id"), F.col(answer).alias("answer"), F.explode(F.array(parts)).alias("p")).select("id", "answer", "p.*")
+    body = F.regexp_replace(F.regexp_replace("said", ASKED, ""), ANSWER_LINE, "")
+    parts = F.struct(
+        "s", "e", "o", F.lower("e").alias("lowered"), body.alias("body"), squeezed(F.col("said")).alias("said"), squeezed(F.col("e")).alias("whole"), squeezed(body).alias("flat"), squeezed(F.col("s")).alias("asked"),
+        F.trim(F.regexp_replace("e", NOTE, "")).alias("text"),
+    )
+    rows = rows.select("id", "answer", F.explode(F.array(parts)).alias("p")).select("id", "answer", "p.*")
     found = {
-        "empty": empty,
-        "refusal": is_refusal(e),
-        "language": is_other_language(s, e),
-        "copy": is_copy(s, e, several),
-        "truncated": (F.trim(e) != "") & is_truncated(e),
+        "empty": is_empty(F.col("said"), F.col("whole"), F.col("answer")),
+        "refusal": is_refusal(F.col("lowered")),
+        "language": is_other_language(F.col("s"), F.col("e")),
+        "copy": is_copy(F.col("flat"), F.col("asked"), F.col("body"), F.col("s"), [F.col("o")[i] for i in range(len(options))]),
+        "truncated": (F.trim("e") != "") & is_truncated(F.col("text")),
     }
     defects = F.array_compact(F.array(*[F.when(found[name], F.lit(name)) for name in DEFECTS]))
-    # The explode keeps the rules from being evaluated anew for the filter and for each column made of them.
-    found = df.select(F.col(id_column), F.explode(F.array(defects)).alias("defects")).filter(F.size("defects") > 0)
+    found = rows.select(F.col("id").alias(id_column), F.explode(F.array(defects)).alias("defects")).filter(F.size("defects") > 0)
     return found.withColumn("defect", F.col("defects")[0])
