@@ -27,7 +27,7 @@ from granary.session import cut_lineage
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SLICE = 1 << 20
-FILTER_BITS = 24  # bits a hash
+FILTER_BITS = 16  # bits a hash; with six probes one other hash in a thousand passes
 FILTER_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F], np.uint64)
 
 
