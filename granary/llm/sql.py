@@ -1,12 +1,15 @@
 """DuckDB SQL of those pN_ queries that SQL can express, over the whole tables, by the plain definition of the cases."""
 
-from granary.llm.lookalikes import mapping
+# Not in the consistent form, by its definition: wide and half-width forms, radicals, other spaces, other dots, the micro
+# sign, Cyrillic letters, Greek letters that look Latin, invisible and control characters; or not composed.
+_APART = (
+    r"[\x{FF01}-\x{FFEE}\x{2F00}-\x{2FD5}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{119E}\x{2027}\x{2219}\x{22C5}\x{30FB}\x{318D}\x{B5}\p{Cyrillic}ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳ"
+    r"\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FE00}-\x{FE0F}\x{1}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}]"
+)
 
-_SOURCE, _TARGET = (x.replace("'", "''") for x in mapping())
 
-
-def _form(column: str) -> str:
-    return f"nfc_normalize(translate({column}, '{_SOURCE}', '{_TARGET}'))"
+def _not_consistent(column: str) -> str:
+    return f"(nfc_normalize({column}) <> {column} OR regexp_matches({column}, '{_APART}'))"
 
 
 _FIELDS = """
@@ -25,9 +28,9 @@ SQL: dict[str, str] = {
         p AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.n, b.n)) AS shared FROM k a JOIN k b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
         SELECT id_a, id_b FROM p JOIN s sa ON sa.id = id_a JOIN s sb ON sb.id = id_b WHERE shared >= 0.7 * (sa.size + sb.size - shared)""",
     "p2_found": f"""
-        SELECT DISTINCT 'chunks' AS table_name, rag_input_id AS record_id, 'content' AS field_name FROM chunks WHERE {_form('content')} <> content
-        UNION SELECT 'chunks', rag_input_id, 'mapped_detail' FROM chunks WHERE {_form('mapped_detail')} <> mapped_detail
-        UNION SELECT 'exam_scope', id, 'detail' FROM exam_scope WHERE {_form('detail')} <> detail""",
+        SELECT DISTINCT 'chunks' AS table_name, rag_input_id AS record_id, 'content' AS field_name FROM chunks WHERE {_not_consistent('content')}
+        UNION SELECT 'chunks', rag_input_id, 'mapped_detail' FROM chunks WHERE {_not_consistent('mapped_detail')}
+        UNION SELECT 'exam_scope', id, 'detail' FROM exam_scope WHERE {_not_consistent('detail')}""",
     "p3_found": "SELECT DISTINCT id FROM source_chunk WHERE length(content) > 1400",
     "p7_found": f"""
         WITH {_FIELDS},
