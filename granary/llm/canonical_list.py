@@ -1,7 +1,7 @@
 """Problem 6: map freely typed values to the closest entry of a reference list.
 
-Method: a multi-pattern automaton over the names and aliases finds embedded mentions and the longest non-overlapping one
-wins; values without a mention go to the similarity of token sets (characters and neighbouring pairs of them).
+Method: a multi-pattern automaton over the names and aliases finds embedded mentions, at word bounds; of the
+non-overlapping ones the longest wins; values without a mention go to the similarity of token sets (characters and neighbouring pairs of them).
 
 The reference list is checked to be small (``max_entries``), so it travels to the workers inside the function; the typed
 values are mapped where they lie, each distinct value of an Arrow batch once, without a shuffle.
@@ -68,6 +68,11 @@ def token_bag(key: str) -> Counter:
     return Counter(key) + Counter(key[i : i + 2] for i in range(len(key) - 1))
 
 
+def joined(text: str, left: int, right: int) -> bool:
+    """Whether the places ``left`` and ``right`` hold Latin letters or digits of one word."""
+    return left >= 0 and right < len(text) and all(c.isascii() and c.isalnum() for c in (text[left], text[right]))
+
+
 class CanonicalMapper:
     """Maps one value to a key of the list; ties go to the entry that comes first."""
 
@@ -92,10 +97,26 @@ class CanonicalMapper:
                 self.postings.setdefault(token, []).append((i, n))
         self.cached = lru_cache(1 << 16)(self._map)
 
-    def mention(self, key: str) -> int | None:
-        """Entry of the longest mention of the non-overlapping ones, the first of equals."""
-        found = sorted(((-size, end - size + 1, i) for end, (size, i) in self.automaton.iter(key)), key=lambda x: x[:2]) if len(self.automaton) else []
-        return found[0][2] if found else None
+    def mentions(self, value: str) -> list[tuple[int, int, int]]:
+        """(start, stop, entry) of the non-overlapping mentions, the longest first and of equals the first.
+
+        Places are those of the value's letters and digits. A mention that begins or ends with a Latin letter or a digit
+        has to do so at a word's end, so ``CT`` is none in ``ACTION``; Korean names run on into particles.
+        """
+        if not len(self.automaton):
+            return []
+        at = [i for i, c in enumerate(value) if c.isalnum() for _ in c.lower() if _.isalnum()]
+        key = key_of(value)
+        found = []
+        for end, (size, i) in self.automaton.iter(key):
+            first, last = at[end - size + 1], at[end]
+            if not (joined(value, first - 1, first) or joined(value, last, last + 1)):
+                found.append((-size, end - size + 1, i))
+        chosen: list[tuple[int, int, int]] = []
+        for size, start, i in sorted(found):
+            if all(start - size <= a or b <= start for a, b, _ in chosen):
+                chosen.append((start, start - size, i))
+        return chosen
 
     def closest(self, value: str) -> tuple[float, int | None]:
         """Highest overlap of token bags (twice the shared over all) of any part with any entry."""
@@ -116,12 +137,11 @@ class CanonicalMapper:
         value = consistent(value)
         if not value.strip():
             return None
-        found = self.mention(key_of(value))
-        if found is None:
-            score, found = self.closest(value)
-            if score < self.least:
-                return UNMATCHED
-        return UNMATCHED if found is None else self.entries[found][0]
+        mentions = self.mentions(value)
+        if mentions:
+            return self.entries[mentions[0][2]][0]
+        score, found = self.closest(value)
+        return UNMATCHED if found is None or score < self.least else self.entries[found][0]
 
     def map(self, value: str | None) -> str | None:
         return None if value is None else self.cached(value)
@@ -136,6 +156,11 @@ def list_entries(reference: DataFrame, key_column: str, name_column: str, max_en
     return sorted((r.k, r.n) for r in found)
 
 
+def listed_names(reference: DataFrame, name_column: str, max_entries: int = 50_000) -> list[str]:
+    """The list's distinct names as written, with the same bound."""
+    return sorted({n for _, n in list_entries(reference, name_column, name_column, max_entries)})
+
+
 def mapper_udf(entries: list[tuple[str, str]], least: float) -> Callable:
     held: list[CanonicalMapper] = []
 

@@ -77,8 +77,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     chunks, scope = read_table(spark, d, "chunks"), read_table(spark, d, "exam_scope")
     areas = canonical_list.map_to_list(chunks, ["rag_input_id"], "mapped_area", scope.select("area", F.col("area").alias("name")), "area", "name")
     details = canonical_list.map_to_list(chunks, ["rag_input_id"], "mapped_detail", scope, "id", "detail")
-    listed_areas = [r.area for r in scope.select("area").distinct().collect()]
-    listed_details = [canonical_list.consistent(r.detail) for r in scope.select("detail").distinct().collect() if r.detail]
+    listed_areas = canonical_list.listed_names(scope, "area")
+    listed_details = [canonical_list.consistent(n) for n in canonical_list.listed_names(scope, "detail")]
     found = None
     for field, rows, listed in (("mapped_area", areas, listed_areas), ("mapped_detail", details, listed_details)):
         rows = rows.filter(F.col("canonical_key").isNotNull() & ~F.col("value").isin(listed))

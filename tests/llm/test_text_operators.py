@@ -84,6 +84,21 @@ def test_typed_values_find_their_entry(spark):
         pass
 
 
+def test_mentions_keep_to_word_bounds():
+    mapper = canonical_list.CanonicalMapper([("a", "CT"), ("b", "CT 장치"), ("c", "자기공명"), ("d", "공명영상학")], 0.45)
+    names = {v: [mapper.entries[i][0] for _, _, i in mapper.mentions(v)] for v in ("ACTION", "directory", "CT의 값", "SPECT CT장치와 자기공명영상학", "ＣＴ", "")}
+    assert names == {"ACTION": [], "directory": [], "CT의 값": ["a"], "SPECT CT장치와 자기공명영상학": ["d", "b"], "ＣＴ": [], "": []}
+    assert mapper.map("ＣＴ") == "a" and mapper.map("ACTION plan") == canonical_list.UNMATCHED
+
+
+def test_look_alikes_of_unicode_data_become_equal(spark):
+    values = ["A", "𝐀", "Ａ", "Ꭺ", "fi", "ﬁ", "mm", "㎜", "III", "Ⅲ", "a-b", "a‑b", "ab", "a\U000e0041b", "cm²", "①", "½", "ㄱ"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v string")
+    got = {r.id: (r.consistent, r.changed) for r in lookalikes.consistent_forms(df, ["id"], "v").collect()}
+    plain = ["A", "A", "A", "A", "fi", "fi", "mm", "mm", "III", "III", "a-b", "a-b", "ab", "ab", "cm²", "①", "½", "ㄱ"]
+    assert [got[i][0] for i in range(len(values))] == plain and [got[i][1] for i in range(len(values))] == [v != p for v, p in zip(values, plain)]
+
+
 def test_scan_traces_one_text_alone():
     sections = scans.section_pattern(["비전리 영상", "CT"])
     dirty = [
