@@ -1,8 +1,9 @@
 """Problem 8: fill containers of a fixed token capacity with whole documents, leaving little room unused.
 
-Method: linear grouping. Large lengths are rounded up to the largest of their group of equal cardinality; configurations
-of the few rounded sizes are optimised one after the other (the fullest that still can be made, as often as it can);
-actual documents are put in the places, and small ones go where they fit best.
+Method: linear grouping. Large lengths are rounded up to the largest of their group of equal cardinality; how often each
+configuration of the few rounded sizes is made is optimised for all of them together, as a linear program whose columns
+are generated by a knapsack; what its rounding down leaves is filled one container after the other, the fullest first.
+Actual documents are put in the places, and small ones go where they fit best.
 
 A plan needs only how many pieces have each length, and no length exceeds the capacity: the driver holds a table of
 that fixed size whatever the number of documents. Documents then find their container by length and rank, ranked in
@@ -79,10 +80,63 @@ def fullest(sizes: list[int], counts: list[int], capacity: int) -> tuple[int, ..
     return tuple(out)
 
 
+def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The content of a container with the highest sum of ``values``, any number of each size."""
+    worth = np.flatnonzero(values > 1e-12)
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    own, gain = sizes[worth], values[worth]
+    for room in range(int(own.min()) if len(own) else capacity + 1, capacity + 1):
+        fits = own <= room
+        totals = best[room - own[fits]] + gain[fits]
+        k = int(totals.argmax())
+        if totals[k] > best[room - 1] + 1e-12:
+            best[room], last[room] = totals[k], worth[fits][k]
+        else:
+            best[room] = best[room - 1]
+    pattern, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if last[room] < 0:
+            room -= 1
+        else:
+            pattern[last[room]] += 1
+            room -= int(sizes[last[room]])
+    return float(best[capacity]), pattern
+
+
+def optimised(sizes: list[int], counts: list[int], capacity: int, steps: int = 1_500) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how often each is made, so that the fewest containers hold nearly all of the counts.
+
+    The linear relaxation over all configurations, by the simplex method with generated columns (Gilmore and Gomory);
+    its values are rounded down, so the counts are never exceeded. ``steps`` only bounds the effort: every step's
+    solution holds the counts.
+    """
+    own, wanted = np.array(sizes, np.int64), np.array(counts, float)
+    if not len(own):
+        return []
+    columns = np.diag((capacity // own).astype(float))
+    inverse = np.linalg.inv(columns)
+    for step in range(steps):
+        value, pattern = best_pattern(own, inverse.sum(axis=0), capacity)
+        if value <= 1 + 1e-9:
+            break
+        made, direction = inverse @ wanted, inverse @ pattern
+        ratios = np.where(direction > 1e-9, np.maximum(made, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
+        leaves = int(ratios.argmin())
+        columns[:, leaves] = pattern
+        if step % 50 == 49:
+            inverse = np.linalg.inv(columns)
+        else:
+            inverse[leaves] /= direction[leaves]
+            others = np.arange(len(own)) != leaves
+            inverse[others] -= np.outer(direction[others], inverse[leaves])
+    made = np.floor(np.maximum(np.linalg.solve(columns, wanted), 0) + 1e-6).astype(int)
+    return [(tuple(int(n) for n in columns[:, j]), int(times)) for j, times in enumerate(made) if times]
+
+
 class Plan:
     """Containers made from length counts; ``segments`` are (length, first rank, first container, pieces each)."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 48, small: float = 0.1):
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 32, small: float = 0.1):
         self.capacity, self.segments, self.containers = capacity, [], 0
         self.next_rank: Counter = Counter()
         self.room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # unused room: (first container, how many)
@@ -126,9 +180,15 @@ class Plan:
     def _place_large(self, groups: list[tuple[int, list[list[int]]]]) -> None:
         sizes, left = [s for s, _ in groups], [sum(c for _, c in m) for _, m in groups]
         stock = [list(m) for _, m in groups]
+        for places, times in optimised(sizes, left, self.capacity):
+            self._make(places, min([times, *[left[k] // n for k, n in enumerate(places) if n]]), left, stock)
         while any(left):
             places = fullest(sizes, left, self.capacity)
-            times = min(left[k] // n for k, n in enumerate(places) if n)
+            self._make(places, min(left[k] // n for k, n in enumerate(places) if n), left, stock)
+
+    def _make(self, places: tuple[int, ...], times: int, left: list[int], stock: list[list[list[int]]]) -> None:
+        """Take ``times`` containers of a configuration from what is left."""
+        if times > 0:
             slots = [k for k, n in enumerate(places) for _ in range(n)]
             for k in slots:
                 left[k] -= times

@@ -217,6 +217,23 @@ def test_packed_documents(spark):
     assert packing.packed(df.limit(0), "doc_id", "text", capacity=64).count() == 0
 
 
+def test_plans_hold_every_piece_and_come_near_the_lower_bound():
+    rng = random.Random(8)
+    for lengths in ([rng.randint(1, 100) for _ in range(4_000)], [34] * 900 + [33] * 600 + [67] * 500, [100] * 5, [51] * 7, [], [1]):
+        counts = Counter(lengths)
+        plan = packing.Plan(dict(counts), 100)
+        load, placed = Counter(), Counter()
+        for length, rank, first, each in plan.segments:
+            after = [r for n, r, *_ in plan.segments if n == length and r > rank]
+            many = min([counts[length], *after]) - rank
+            placed[length] += many
+            for i in range(many):
+                load[first + i // each] += length
+        assert placed == counts and (not load or max(load.values()) <= 100 and max(load) < plan.containers)
+        assert plan.containers <= 1.05 * -(-sum(lengths) // 100) or lengths[:1] in ([51], [34])
+    assert packing.Plan({34: 900, 33: 600, 67: 500}, 100).containers <= 835
+
+
 def test_subjects_on_held_out_documents(spark):
     rng = random.Random(2)
     own = {a: [f"{a}용어{chr(0xAC00 + 28 * i)}" for i in range(20)] for a in ("가", "나", "다")}
