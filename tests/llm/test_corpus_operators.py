@@ -231,7 +231,7 @@ def test_plans_hold_every_piece_and_come_near_the_lower_bound():
                 load[first + i // each] += length
         assert placed == counts and (not load or max(load.values()) <= 100 and max(load) < plan.containers)
         assert plan.containers <= 1.05 * -(-sum(lengths) // 100) or lengths[:1] in ([51], [34])
-    assert packing.Plan({34: 900, 33: 600, 67: 500}, 100).containers <= 835
+    assert packing.Plan({34: 900, 33: 600, 67: 500}, 100).containers <= 990
 
 
 def test_subjects_on_held_out_documents(spark):
