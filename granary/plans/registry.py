@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import search, tables, texts
+from granary.plans import lists, search, tables, texts, values
 
-MODULES = (texts, search, tables)
+MODULES = (texts, values, search, tables, lists)
 
 
 def queries() -> dict:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.functions import values as V
 from granary.operators import retrieval as R
 from granary.operators import sequences as S
 from granary.sources.tables import read_table
@@ -18,7 +19,7 @@ SCOPE = ("mapped_period", "mapped_subject", "mapped_field", "mapped_area", "mapp
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
     scope = F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in SCOPE])
     rows = read_table(spark, d, "chunks").withColumn("scope_text", scope)
-    return rows.select("doc_id", "rag_input_id", "content", "scope_text", "mapped_subject", "mapped_area", "scope_mapping_confidence").filter("trim(content) <> ''").dropDuplicates(["doc_id"])
+    return rows.select("doc_id", "rag_input_id", "content", "scope_text", "mapped_subject", "mapped_area", "scope_mapping_confidence").filter("trim(content) <> ''")
 
 
 def _terms(spark: SparkSession) -> DataFrame:
@@ -40,7 +41,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 def bm25_area_eval(spark: SparkSession, d: str) -> DataFrame:
     """Each area's name as a query: pass if the first hit has the area, warn if one of five has, else fail."""
     areas = read_table(spark, d, "exam_scope").select("area").distinct()
-    queries = areas.select(F.col("area").alias("query"), F.explode(X.tokens(F.col("area"), 1)).alias("term"))
+    queries = areas.select(F.col("area").alias("query"), F.explode(R.index_terms(F.col("area"))).alias("term"))
     rows = _indexed(spark, d)
     scored = R.bm25(rows, "doc_id", FIELDS, queries).select("query", "id", F.round("score", 6).alias("score"))
     hits = R.top(scored, ["query"], [F.asc("score"), F.asc("id")], 5).join(rows.select(F.col("doc_id").alias("id"), "mapped_area"), "id")
@@ -54,48 +55,83 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10)
 
 
-def vector_tiered(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of the query's own label first, then all others."""
-    rows = read_table(spark, d, "embeddings")
-    q = F.broadcast(rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("_q")))
-    scored = rows.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("id"), F.when(F.col("label") == F.col("own"), 0).otherwise(1).alias("tier"), F.round(R.cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
-    return R.top(scored, ["query_id"], [F.asc("tier"), F.desc("score"), F.asc("id")], 10)
+LEVELS = ("mapped_subject", "mapped_field", "mapped_area", "mapped_detail")
+
+
+def _placed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with the scope and text of the chunk of the same number."""
+    chunks = read_table(spark, d, "chunks").select(F.col("doc_id").cast("bigint").alias("vec_id"), *LEVELS, F.concat_ws(" ", "content", "excerpt", "metadata_json").alias("text")).dropDuplicates(["vec_id"])
+    return read_table(spark, d, "embeddings").select("vec_id", "embedding").join(chunks, "vec_id", "left")
+
+
+def vector_progressive(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours by scope from detail to area, field, subject and all; scores raised by the terms of the query's detail."""
+    rows = _placed_vectors(spark, d).withColumn("_n", F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))))
+    q = rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.col("_n").alias("_qn"), X.boost_terms(F.col("mapped_detail")).alias("terms"), *[F.col(c).alias(f"_{c}") for c in LEVELS])
+    pairs = rows.join(R.small(q), F.col("vec_id") != F.col("query_id"))
+    score = R.dot(F.col("_q"), F.col("embedding")) / (F.col("_qn") * F.col("_n"))
+    level = R.level_of([F.col(c) for c in LEVELS], [F.col(f"_{c}") for c in LEVELS])
+    scored = pairs.select("query_id", F.col("vec_id").alias("id"), level.alias("level"), F.round(V.boosted(score, F.coalesce("text", F.lit("")), F.col("terms")), 6).alias("score"))
+    return R.progressive(scored, "query_id", "id", "level", "score", 6)
 
 
 def multi_query_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Five nearest of each query; a vector met twice counts at the first query; all by score."""
+    """Five nearest of each query; a vector met twice counts at the first query; of all these the forty best."""
     rows = read_table(spark, d, "embeddings")
     hits = R.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 5)
-    return S.first_per_key(hits, ["id"], [F.asc("query_id"), F.asc("rank")]).select("id", "query_id", "score")
+    once = S.first_per_key(hits, ["id"], [F.asc("query_id"), F.asc("rank")]).select("id", "query_id", "score")
+    return once.orderBy(F.desc("score"), F.asc("id")).limit(40)
 
 
 def scored_scope_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk of a subject against that subject's scope rows: 8 for the detail, 3 for the area in the text."""
-    chunks = read_table(spark, d, "chunks").select("rag_input_id", "mapped_subject", X.compact_key(F.col("content")).alias("k")).filter("k <> ''").distinct()
-    scope = read_table(spark, d, "exam_scope").select("id", "subject", X.compact_key(F.col("detail")).alias("dk"), X.compact_key(F.col("area")).alias("ak"))
-    pairs = chunks.join(F.broadcast(scope), chunks.mapped_subject == scope.subject)
-    score = F.when(F.contains("k", "dk"), 8).otherwise(0) + F.when(F.contains("k", "ak"), 3).otherwise(0)
-    best = pairs.select("rag_input_id", "id", score.alias("score")).filter("score > 0").groupBy("rag_input_id").agg(F.min(F.struct(-F.col("score"), "id")).alias("b"))
-    mapped = best.select("rag_input_id", F.col("b.id").alias("scope_id"), (-F.col("b.col1")).alias("score"))
+    """Chunks against their subject's scope rows: 8 for the detail, 3 for the area, 1.25 a name found (to 8), 0.75 a word (to 6).
+
+    Words are met by an equal join; only names, which stand inside other words too, meet every scope row of the subject.
+    """
+    chunks = read_table(spark, d, "chunks").select("rag_input_id", "mapped_subject", "content").filter("content is not null").dropDuplicates(["rag_input_id"])
+    scope = read_table(spark, d, "exam_scope").select("id", "subject", X.without_numbering(X.nfc("detail")).alias("detail"), X.without_numbering(X.nfc("area")).alias("area"))
+    named = chunks.select("rag_input_id", "mapped_subject", X.compact_key(F.col("content")).alias("k"))
+    keys = scope.select("id", F.col("subject").alias("mapped_subject"), X.compact_key(F.col("detail")).alias("dk"), X.compact_key(F.col("area")).alias("ak"))
+    hits = named.join(R.small(keys), "mapped_subject").select("rag_input_id", "id", (F.contains("k", "dk") & (F.col("dk") != "")).alias("d"), (F.contains("k", "ak") & (F.col("ak") != "")).alias("a"))
+    names = F.col("d").cast("int") + F.when(F.col("a"), 1).otherwise(0)
+    by_name = hits.filter("d or a").select("rag_input_id", "id", (F.when(F.col("d"), 8.0).otherwise(0.0) + F.when(F.col("a"), 3.0).otherwise(0.0) + V.capped(names, 1.25, 8.0)).alias("score"))
+    words = chunks.select("rag_input_id", "mapped_subject", F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("word"))
+    of_scope = scope.select("id", F.col("subject").alias("mapped_subject"), F.explode(F.array_distinct(X.tokens(F.concat_ws(" ", "detail", "area")))).alias("word"))
+    met = words.join(R.small(of_scope), ["mapped_subject", "word"]).groupBy("rag_input_id", "id").agg(V.capped(F.count("*"), 0.75, 6.0).alias("score"))
+    total = by_name.unionByName(met).groupBy("rag_input_id", "id").agg(F.sum("score").alias("score"))
+    best = total.groupBy("rag_input_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+    mapped = best.select("rag_input_id", F.col("b.id").alias("scope_id"), (-F.col("b.s")).alias("score"))
     return mapped.withColumn("confidence", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 5, "medium").otherwise("area_only"))
 
 
 def range_join_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of source documents by page range; the first range that holds the page wins."""
-    ranges = spark.createDataFrame([(1, 1, 10, "front"), (2, 8, 60, "early"), (3, 61, 400, "late")], "pos int, low int, high int, section string")
-    rows = read_table(spark, d, "source_chunk").select("id", "page_start").distinct()
-    hit = rows.join(F.broadcast(ranges), F.col("page_start").between(F.col("low"), F.col("high")), "left")
-    first = hit.groupBy("id", "page_start").agg(F.min_by("section", "pos").alias("section"))
-    return first.groupBy(F.coalesce("section", F.lit("none")).alias("section")).agg(F.count("*").alias("n"))
+    """Each source chunk with the scope detail of its area whose listed pages, from one list entry to the next, hold its page.
+
+    The ranges are those between the list's own source pages; of overlapping ones the first by page and id wins.
+    """
+    from pyspark.sql import Window
+
+    listed = read_table(spark, d, "exam_scope").select("area", "source_page", "id")
+    pages = listed.groupBy("area", "source_page").agg(F.min("id").alias("scope_id"))
+    ranges = pages.withColumn("until", F.coalesce(F.lead("source_page").over(Window.partitionBy("area").orderBy("source_page")), F.lit(1 << 30)))
+    rows = read_table(spark, d, "source_chunk").select("id", "area", "page_start").distinct()
+    hit = rows.join(R.small(ranges), (rows.area == ranges.area) & (F.col("page_start") >= F.col("source_page")) & (F.col("page_start") < F.col("until")), "left")
+    return hit.groupBy(rows.id).agg(F.min_by("scope_id", F.struct("source_page", "scope_id")).alias("scope_id"))
 
 
 def override_precedence(spark: SparkSession, d: str) -> DataFrame:
-    """File markers override the mapped subject; the first marker in the file name wins, else the mapping stays."""
-    marks = spark.createDataFrame([(1, "guide", "guide"), (2, "us_", "ultrasound"), (3, "ct_", "tomography")], "pos int, mark string, profile string")
-    rows = read_table(spark, d, "chunks").select("rag_input_id", "source_file", "mapped_subject").distinct()
-    hit = rows.join(F.broadcast(marks), F.contains("source_file", "mark"), "left")
-    first = hit.groupBy("rag_input_id", "mapped_subject").agg(F.min_by("profile", "pos").alias("profile"))
-    return first.groupBy(F.coalesce("profile", "mapped_subject", F.lit("none")).alias("profile")).agg(F.count("*").alias("n"))
+    """Overrides by file, and by page where they name one, take precedence over the mapping; the first in the list wins.
+
+    Each document of the store is an override for the files named like it: its low pages, then the file as a whole.
+    """
+    store = read_table(spark, d, "source_document").filter("filename <> ''").select("id", "filename", "area", F.from_json("low_text_pages", "array<int>").alias("low"))
+    paged = store.select("id", "filename", F.explode("low").alias("page"), F.lit("low page").alias("to"))
+    whole = store.filter("area is not null").select("id", "filename", F.lit(None).cast("int").alias("page"), F.col("area").alias("to"))
+    rules = paged.unionByName(whole).withColumn("at", F.struct(F.when(F.col("page").isNull(), 1).otherwise(0).alias("kind"), "id"))
+    rows = read_table(spark, d, "chunks").select("rag_input_id", "source_file", "page_or_slide", "mapped_area").distinct()
+    hit = rows.join(R.small(rules), (F.col("source_file") == F.col("filename")) & (F.col("page").isNull() | (F.col("page") == F.col("page_or_slide"))), "left")
+    first = hit.groupBy("rag_input_id", "mapped_area").agg(F.min_by("to", "at").alias("to"))
+    return first.select("rag_input_id", F.coalesce("to", "mapped_area", F.lit("none")).alias("area"), F.col("to").isNotNull().alias("overridden"))
 
 
 def term_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -104,9 +140,9 @@ def term_overlap(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.size(F.array_intersect("s", "t")).alias("shared"), F.size(F.array_except("t", "s")).alias("lacking")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_area_eval, vector_topk, vector_tiered, multi_query_merge, scored_scope_mapping, range_join_detail, override_precedence, term_overlap)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_area_eval, vector_topk, vector_progressive, multi_query_merge, scored_scope_mapping, range_join_detail, override_precedence, term_overlap)}
 
-_ALL = "list_filter(regexp_extract_all(lower({0}), '[0-9a-z가-힣]+'), lambda t: NOT regexp_full_match(t, '[0-9]+'))"
+_ALL = "regexp_extract_all(lower({0}), '[0-9a-z가-힣]+')"
 _BM25 = """
     i AS (SELECT doc_id, any_value(content) AS content, any_value(concat_ws(' ', {scope})) AS scope_text, any_value(mapped_subject) AS mapped_subject, any_value(mapped_area) AS mapped_area, any_value(scope_mapping_confidence) AS conf
           FROM chunks WHERE trim(content, ' ') <> '' GROUP BY doc_id),
@@ -132,19 +168,29 @@ SQL = {
         FROM t JOIN i USING (doc_id) WHERE rank <= 5 GROUP BY query""",
     "vector_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
         SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
-    "vector_tiered": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, CASE WHEN a.label = b.label THEN 0 ELSE 1 END AS tier, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
-        SELECT query_id, id, tier, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, id) <= 10""",
+    "vector_progressive": f"""WITH c AS (SELECT DISTINCT ON (doc_id) doc_id, mapped_subject AS s, mapped_field AS f, mapped_area AS a, mapped_detail AS d, concat_ws(' ', content, excerpt, metadata_json) AS text FROM chunks),
+        r AS (SELECT vec_id, embedding, c.* FROM embeddings LEFT JOIN c ON doc_id = vec_id),
+        p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS cos, coalesce(b.text, '') AS text, list_distinct(list_filter(string_split_regex(replace(coalesce(a.d, ''), ',', ' '), '\\s+'), lambda t: length(t) >= 2)) AS terms,
+            coalesce(trim(a.s, ' ') = '' OR trim(a.s, ' ') = trim(b.s, ' '), a.s IS NULL) AS s, coalesce(trim(a.f, ' ') = '' OR trim(a.f, ' ') = trim(b.f, ' '), a.f IS NULL) AS f,
+            coalesce(trim(a.a, ' ') = '' OR trim(a.a, ' ') = trim(b.a, ' '), a.a IS NULL) AS a, coalesce(trim(a.d, ' ') = '' OR trim(a.d, ' ') = trim(b.d, ' '), a.d IS NULL) AS d FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        z AS (SELECT query_id, id, CASE WHEN s AND f AND a AND d THEN 0 WHEN s AND f AND a THEN 1 WHEN s AND f THEN 2 WHEN s THEN 3 ELSE 4 END AS level, round(cos + least(0.12, 0.05 * len(list_filter(terms, lambda t: contains(text, t))))::DOUBLE, 6) AS score FROM p)
+        SELECT query_id, id, level, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY level, score DESC, id) AS INT) AS rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level, score DESC, id) <= 6""",
     "multi_query_merge": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)
-        SELECT id, query_id, score FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY query_id) = 1""",
-    "scored_scope_mapping": f"""WITH c AS (SELECT DISTINCT rag_input_id, mapped_subject, {_KEY.format('content')} AS k FROM chunks), s AS (SELECT id, subject, {_KEY.format('detail')} AS dk, {_KEY.format('area')} AS ak FROM exam_scope),
-        p AS (SELECT rag_input_id, id, (CASE WHEN contains(k, dk) THEN 8 ELSE 0 END) + (CASE WHEN contains(k, ak) THEN 3 ELSE 0 END) AS score FROM c JOIN s ON mapped_subject = subject WHERE k <> '')
+        SELECT id, query_id, score FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY query_id) = 1) ORDER BY score DESC, id LIMIT 40""",
+    "scored_scope_mapping": f"""WITH c AS (SELECT DISTINCT ON (rag_input_id) rag_input_id, mapped_subject, {_KEY.format('content')} AS k, {_WORDS.format('content')} AS w FROM chunks WHERE content IS NOT NULL),
+        s AS (SELECT id, subject, {_KEY.format('nfc_normalize(detail)')} AS dk, {_KEY.format('area')} AS ak, {_WORDS.format("nfc_normalize(detail) || ' ' || area")} AS w FROM exam_scope),
+        h AS (SELECT rag_input_id, id, contains(k, dk) AS d, contains(k, ak) AS a, len(list_intersect(c.w, s.w)) AS n FROM c JOIN s ON mapped_subject = subject),
+        p AS (SELECT rag_input_id, id, CAST(CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN a THEN 3 ELSE 0 END + 1.25 * (CAST(d AS INT) + CAST(a AS INT)) + least(6, 0.75 * n) AS DOUBLE) AS score FROM h)
         SELECT rag_input_id, id AS scope_id, score, CASE WHEN score >= 10 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'area_only' END AS confidence FROM p WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY rag_input_id ORDER BY score DESC, id) = 1""",
-    "range_join_detail": """SELECT CASE WHEN page_start BETWEEN 1 AND 10 THEN 'front' WHEN page_start BETWEEN 8 AND 60 THEN 'early' WHEN page_start BETWEEN 61 AND 400 THEN 'late' ELSE 'none' END AS section, count(*) AS n
-        FROM (SELECT DISTINCT id, page_start FROM source_chunk) GROUP BY 1""",
-    "override_precedence": """SELECT coalesce(CASE WHEN contains(source_file, 'guide') THEN 'guide' WHEN contains(source_file, 'us_') THEN 'ultrasound' WHEN contains(source_file, 'ct_') THEN 'tomography' END, mapped_subject, 'none') AS profile, count(*) AS n
-        FROM (SELECT DISTINCT rag_input_id, source_file, mapped_subject FROM chunks) GROUP BY 1""",
+    "range_join_detail": """WITH c AS (SELECT DISTINCT id, area, page_start FROM source_chunk)
+        SELECT c.id, (SELECT s.id FROM exam_scope s WHERE s.area = c.area AND s.source_page <= c.page_start ORDER BY s.source_page DESC, s.id LIMIT 1) AS scope_id FROM c""",
+    "override_precedence": """WITH r AS (SELECT filename, 0 AS kind, id, unnest(CAST(json_extract(low_text_pages, '$[*]') AS INT[])) AS page, 'low page' AS t FROM source_document WHERE filename <> '' AND json_valid(low_text_pages)
+            UNION ALL SELECT filename, 1, id, NULL, area FROM source_document WHERE filename <> '' AND area IS NOT NULL),
+        c AS (SELECT DISTINCT rag_input_id, source_file, page_or_slide, mapped_area FROM chunks)
+        SELECT c.rag_input_id, coalesce(t, mapped_area, 'none') AS area, t IS NOT NULL AS overridden FROM c LEFT JOIN r ON filename = source_file AND (page IS NULL OR page = page_or_slide)
+        QUALIFY row_number() OVER (PARTITION BY c.rag_input_id ORDER BY kind, id) = 1""",
     "term_overlap": f"""WITH c AS (SELECT DISTINCT id, {_WORDS.format('stem')} AS s, {_WORDS.format('detail')} AS t FROM question_bank_candidate WHERE stem IS NOT NULL AND detail IS NOT NULL)
         SELECT DISTINCT id, CAST(len(list_intersect(s, t)) AS INT) AS shared, CAST(len(list_filter(t, lambda x: NOT list_contains(s, x))) AS INT) AS lacking FROM c""",
 }

@@ -33,11 +33,6 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("validation_stage", F.coalesce("verdict", F.lit("none")).alias("verdict")).agg(F.count("*").alias("n"), F.sum("passed").alias("passed"))
 
 
-def check_verdict_matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d, "question_bank_candidate_validation").withColumn("p", F.coalesce("passed", F.lit(-1)).cast("string"))
-    return rows.groupBy(F.coalesce("validator_type", F.lit("none")).alias("validator")).pivot("p", ["-1", "0", "1"]).count().na.fill(0).toDF("validator", "unknown", "failed", "passed")
-
-
 def scope_group_having(spark: SparkSession, d: str) -> DataFrame:
     keys = ["mapped_period", "mapped_subject", "mapped_field", "mapped_area", "mapped_detail"]
     rows = _once(spark, d, "chunks", "rag_input_id").filter("mapped_detail is not null")
@@ -156,13 +151,6 @@ def quota_gaps(spark: SparkSession, d: str) -> DataFrame:
     return scope.join(filled, "scope_id", "left").select("scope_id", (F.col("question_count") - F.coalesce("filled", F.lit(0))).cast("int").alias("gap")).filter("gap > 0")
 
 
-def quota_backfill(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifty of each period that fill no quota."""
-    pool = _once(spark, d, "question_bank_candidate").filter("status = 'expert_passed' and period is not null")
-    left = pool.join(quota_fill(spark, d).select("id"), "id", "left_anti")
-    return top(left, ["period"], [_stage(), F.sha2("id", 256)], 50).select("period", "id", "rank")
-
-
 def round_robin_target(spark: SparkSession, d: str) -> DataFrame:
     rows = _once(spark, d, "question_bank_candidate").filter("answer between 1 and 5 and subject is not null")
     return rows.select("id", S.round_robin(["subject"], [F.col("id")], 5).alias("target"))
@@ -250,9 +238,9 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_summary, verdict_counts, check_verdict_matrix, scope_group_having, evidence_topk_per_scope, semi_join_safe, anti_join_missing, evidence_admission, coverage_audit_full_outer,
+        candidate_summary, verdict_counts, scope_group_having, evidence_topk_per_scope, semi_join_safe, anti_join_missing, evidence_admission, coverage_audit_full_outer,
         top3_sources_string, status_pivot, blueprint_rollup, answer_cube, candidate_list_paged, correlated_counts, candidate_hydrate, latest_status, selectable_status, quota_fill, quota_gaps,
-        quota_backfill, round_robin_target, consecutive_pairs, variant_fanout, forward_fill, context_lines, dedupe_first, dedupe_last, conflicting_scopes, page_ranges, upsert_preserve,
+        round_robin_target, consecutive_pairs, variant_fanout, forward_fill, context_lines, dedupe_first, dedupe_last, conflicting_scopes, page_ranges, upsert_preserve,
         incremental_resume, diversity, scope_join_compact, hourly_events,
     )
 }
@@ -272,7 +260,6 @@ SQL = {
     "candidate_summary": f"""SELECT 'status' AS kind, coalesce(status, 'none') AS value, count(*) AS n FROM {_C} GROUP BY ALL UNION ALL SELECT 'subject', coalesce(subject, 'none'), count(*) FROM {_C} GROUP BY ALL
         UNION ALL SELECT 'source_stage', coalesce(source_stage, 'none'), count(*) FROM {_C} GROUP BY ALL UNION ALL SELECT 'question_type', coalesce(question_type, 'none'), count(*) FROM {_C} GROUP BY ALL""",
     "verdict_counts": f"SELECT validation_stage, coalesce(verdict, 'none') AS verdict, count(*) AS n, CAST(sum(passed) AS BIGINT) AS passed FROM {_V} GROUP BY ALL",
-    "check_verdict_matrix": f"SELECT coalesce(validator_type, 'none') AS validator, count(*) FILTER (passed IS NULL) AS unknown, count(*) FILTER (passed = 0) AS failed, count(*) FILTER (passed = 1) AS passed FROM {_V} GROUP BY 1",
     "scope_group_having": f"""SELECT mapped_period, mapped_subject, mapped_field, mapped_area, mapped_detail, count(*) AS evidence, count(*) FILTER (scope_mapping_confidence = 'high') AS high, count(*) FILTER (scope_mapping_needs_review = 1) AS review,
         count(DISTINCT source_file) AS files FROM {_K} WHERE mapped_detail IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
     "evidence_topk_per_scope": f"""SELECT mapped_scope_id, rag_input_id, CAST(row_number() OVER w AS INT) AS rank FROM {_K} WHERE mapped_scope_id <> ''
@@ -299,8 +286,6 @@ SQL = {
         SELECT c.subject, count(*) AS n FROM {_C} c JOIN p ON c.subject = p.subject WHERE status = CASE WHEN a THEN 'expert_passed' ELSE 'pending_expert_review' END GROUP BY c.subject""",
     "quota_fill": f"SELECT scope_id, id FROM {_FILL}",
     "quota_gaps": f"SELECT s.id AS scope_id, CAST(question_count - count(f.id) AS INT) AS gap FROM exam_scope s LEFT JOIN {_FILL} f ON f.scope_id = s.id WHERE question_count IS NOT NULL GROUP BY s.id, question_count HAVING question_count - count(f.id) > 0",
-    "quota_backfill": f"""SELECT period, id, CAST(row_number() OVER (PARTITION BY period ORDER BY {_RANK}) AS INT) AS rank FROM {_C} WHERE status = 'expert_passed' AND period IS NOT NULL AND id NOT IN (SELECT id FROM {_FILL})
-        QUALIFY row_number() OVER (PARTITION BY period ORDER BY {_RANK}) <= 50""",
     "round_robin_target": f"SELECT id, CAST((row_number() OVER (PARTITION BY subject ORDER BY id) - 1) % 5 + 1 AS INT) AS target FROM {_C} WHERE answer BETWEEN 1 AND 5 AND subject IS NOT NULL",
     "consecutive_pairs": f"""WITH t AS (SELECT mapped_scope_id, rag_input_id, row_number() OVER (PARTITION BY mapped_scope_id ORDER BY source_file NULLS FIRST, coalesce(page_or_slide, 0), rag_input_id) - 1 AS n FROM {_K} WHERE mapped_scope_id <> '')
         SELECT mapped_scope_id, CAST(n // 2 AS INT) AS pair, max(rag_input_id) FILTER (n % 2 = 0) AS rag_input_id_1, max(rag_input_id) FILTER (n % 2 = 1) AS rag_input_id_2 FROM t GROUP BY 1, 2 HAVING count(*) = 2""",

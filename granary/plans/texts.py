@@ -11,7 +11,13 @@ from granary.operators import gates
 from granary.sources.tables import read_table
 
 # Families of wording that hold a passage back, tried in this order.
-HOLDS = (("hold_legal", "(법|규칙|고시) ?제? ?[0-9]+조|과태료|벌금"), ("hold_caption", "그림 ?[0-9]|표 ?[0-9]+[-.]"), ("hold_formula", "[=≤≥±]"), ("hold_unit", "[0-9] ?(kV|mA|mAs|mGy|mSv|MHz|keV|MeV)"))
+HOLDS = (
+    ("hold_legal_or_statutory", r"제\s*\d+\s*조|별표|시행규칙|시행령|의료법|모자보건법|지역보건법|원자력안전법|의료기사\s*등에\s*관한\s*법률|진단용\s*방사선\s*발생장치.*안전관리|질병관리청|식품의약품안전처|보건복지부"),
+    ("hold_visual_caption", r"(?:그림|표)\s*[0-9]+|(?<![\p{L}\p{N}_])(?:fig|table)\.?\s*[0-9]+"),
+    ("hold_formula_or_equation", r"수식|공식|방정식|[A-Za-zηλμρσθ]\s*=|\d+(?:\.\d+)?\s*[×x]\s*10\s*[-−^]?\s*\d+"),
+    ("hold_numeric_unit", r"(?<![\p{L}\p{N}_])\d+(?:\.\d+)?\s*(?:kV|mA|mAs|Gy|Sv|Bq|keV|MeV|MHz|mmHg|mGy|mSv|MBq|GBq)(?![\p{L}\p{N}_])"),
+)
+TEXT_METHODS = ("text", "ocr")
 
 
 def chunk_sliding(spark: SparkSession, d: str) -> DataFrame:
@@ -64,17 +70,21 @@ def content_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _holds(text) -> gates.Checks:
-    return [(name, text.rlike(pattern)) for name, pattern in HOLDS]
+    return [(name, text.rlike(f"(?iU){pattern}")) for name, pattern in HOLDS]
 
 
 def _admission(spark: SparkSession, d: str) -> tuple[DataFrame, gates.Checks]:
-    text = F.trim(F.coalesce("content", F.lit("")))
+    """Eight flags, then four families of wording."""
+    text = F.coalesce("content", F.lit(""))
     checks = [
         ("empty_content", text == ""),
-        ("not_approved", ~F.coalesce(F.col("approved_for_rag_evidence") == 1, F.lit(False))),
-        ("not_ready", ~F.coalesce(F.col("candidate_rag_status") == "ready_for_rag_evidence", F.lit(False))),
-        ("low_quality", ~F.coalesce(F.col("extraction_quality") == "high", F.lit(False))),
-        ("needs_review", F.coalesce(F.col("scope_mapping_needs_review") == 1, F.lit(False))),
+        ("not_approved_for_rag_evidence", ~F.coalesce(F.col("approved_for_rag_evidence") == 1, F.lit(False))),
+        ("not_ready_for_rag_evidence", ~F.coalesce(F.col("candidate_rag_status") == "ready_for_rag_evidence", F.lit(False))),
+        ("generation_approved_unexpected", F.coalesce(F.col("approved_for_generation") == 1, F.lit(False))),
+        ("non_text_chunk_type", ~F.coalesce(F.get_json_object("metadata_json", "$.extraction_method").isin(*TEXT_METHODS), F.lit(False))),
+        ("non_high_quality", ~F.coalesce(F.col("extraction_quality") == "high", F.lit(False))),
+        ("source_needs_review", F.coalesce(F.col("scope_mapping_needs_review") == 1, F.lit(False))),
+        ("source_path_missing", F.coalesce(F.trim("source_path"), F.lit("")) == ""),
         *_holds(text),
     ]
     return read_table(spark, d, "chunks"), checks
@@ -139,11 +149,15 @@ QUERIES = {
 
 _BLANK = r"[ \t\r\f\x0B\x{00A0}\x{2007}\x{202F}\x{3000}]+"
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '[0-9a-z가-힣]+'), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '[0-9]+'))"
-_TEXT = "trim(coalesce(content, ''))"
+# Written on their own: the regular expressions of the compared engine know word bounds of ASCII only.
 _CHECKS = [
-    ("empty_content", f"{_TEXT} = ''"), ("not_approved", "NOT coalesce(approved_for_rag_evidence = 1, false)"), ("not_ready", "NOT coalesce(candidate_rag_status = 'ready_for_rag_evidence', false)"),
-    ("low_quality", "NOT coalesce(extraction_quality = 'high', false)"), ("needs_review", "coalesce(scope_mapping_needs_review = 1, false)"),
-    *[(n, f"regexp_matches({_TEXT}, '{p}')") for n, p in HOLDS],
+    ("empty_content", "coalesce(content, '') = ''"), ("not_approved_for_rag_evidence", "approved_for_rag_evidence IS DISTINCT FROM 1"), ("not_ready_for_rag_evidence", "candidate_rag_status IS DISTINCT FROM 'ready_for_rag_evidence'"),
+    ("generation_approved_unexpected", "approved_for_generation IS NOT DISTINCT FROM 1"), ("non_text_chunk_type", "coalesce(json_extract_string(metadata_json, '$.extraction_method') NOT IN ('text', 'ocr'), true)"),
+    ("non_high_quality", "extraction_quality IS DISTINCT FROM 'high'"), ("source_needs_review", "scope_mapping_needs_review IS NOT DISTINCT FROM 1"), ("source_path_missing", "coalesce(trim(source_path, ' '), '') = ''"),
+    ("hold_legal_or_statutory", r"regexp_matches(coalesce(content, ''), '제[\s\p{Z}]*\p{Nd}+[\s\p{Z}]*조|별표|시행(규칙|령)|(의료|모자보건|지역보건|원자력안전)법|의료기사[\s\p{Z}]*등에[\s\p{Z}]*관한[\s\p{Z}]*법률|진단용[\s\p{Z}]*방사선[\s\p{Z}]*발생장치.*안전관리|질병관리청|식품의약품안전처|보건복지부')"),
+    ("hold_visual_caption", r"regexp_matches(coalesce(content, ''), '(그림|표)[\s\p{Z}]*[0-9]|(^|[^\p{L}\p{N}_])(fig|table)[.]?[\s\p{Z}]*[0-9]', 'i')"),
+    ("hold_formula_or_equation", r"regexp_matches(coalesce(content, ''), '수식|공식|방정식|[a-zηλμρσθ][\s\p{Z}]*=|\p{Nd}[\s\p{Z}]*[×x][\s\p{Z}]*10[\s\p{Z}]*[-−^]?[\s\p{Z}]*\p{Nd}', 'i')"),
+    ("hold_numeric_unit", r"regexp_matches(coalesce(content, ''), '(^|[^\p{L}\p{N}_])\p{Nd}+(\.\p{Nd}+)?[\s\p{Z}]*(kV|mAs?|[mMG]?(Gy|Sv|Bq)|[kM]eV|MHz|mmHg)($|[^\p{L}\p{N}_])', 'i')"),
 ]
 _NUMBERS = r"list_distinct(regexp_extract_all({0}, '[0-9]+(?:\.[0-9]+)?'))"
 

@@ -29,10 +29,13 @@ def local_session(cpus: int | None = None, memory: str = "20g") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so a lost executor costs no recomputation.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (as in tests) a local one is set.
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and the session is a local one (as in
+    tests) a local folder is set; on a cluster, whose executors could not share it, that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-checkpoint-"))
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))

@@ -33,7 +33,7 @@ def test_sliding_chunks_closed_form(spark):
 def test_tokens_and_sentences(spark):
     assert one(spark, "CT 12 방사선a x", X.tokens) == ["ct", "방사선a"]
     assert one(spark, "가나. 다라? 마;바 3.5 사", X.sentences) == ["가나.", "다라?", "마", "바 3.5 사"]
-    assert one(spark, "방사선은", X.particle_free) == "방사선"
+    assert one(spark, "방사선은", X.suffix_free) == "방사선"
 
 
 def test_sequence_ratio_is_the_library_one(spark):
@@ -82,3 +82,52 @@ def test_similarity_pairs_are_all_pairs(spark, tmp_path):
     want = {(q, k): round(difflib.SequenceMatcher(None, a.strip(), b.strip()).ratio(), 6) for q, a in explanations.items() for k, b in contents.items()}
     want["q1", "k1"] = want["q3", "k1"] = 1.0
     assert got == want
+
+
+def test_numbering_and_words(spark):
+    for raw, want in (("1. 총론", "총론"), ("1.2 총론", "총론"), ("iv. 총론", "총론"), ("#1 총론", "총론"), ("1) 총론", "총론"), ("(3) 총론", "총론"), ("No. 1 총론", "총론"), ("CT 총론", "CT 총론"), ("3상 전원", "3상 전원")):
+        assert one(spark, raw, X.without_numbering) == want
+    assert one(spark, "병원으로부터 차폐를 가 12를 CT에서", X.word_set) == ["병원", "차폐", "ct"]
+    assert one(spark, "선량, 차폐 a  선량", X.boost_terms) == ["선량", "차폐"] and one(spark, None, X.boost_terms) == []
+
+
+def test_segments_pack_to_the_limit():
+    assert X.packed_sentences("가나다라. 마바사아. 자차카타.", 5, 12) == ["가나다라. 마바사아.", "자차카타."]
+    assert X.packed_sentences("짧다. " + "긴" * 25 + ".", 5, 10) == ["짧다.", "긴" * 10, "긴" * 10, "긴" * 5 + "."]
+    assert X.packed_sentences("가. 나.", 10, 20) == [] and X.packed_sentences("", 1, 5) == [] and X.packed_sentences("가" * 3 + " " + "나" * 3, 5, 6) == ["가가가 나나"]
+
+
+def test_paragraphs_are_packed():
+    text = "가" * 30 + "\n\n" + "나" * 30 + "\n \n" + "다" * 250 + "\n\n" + "라" * 10
+    pieces = X.paragraph_pieces(text, 100, 20)
+    assert pieces[0] == "가" * 30 + "\n\n" + "나" * 30 and pieces[1:5] == ["다" * 100, "다" * 100, "다" * 90, "라" * 10]
+    assert X.paragraph_pieces("", 100, 20) == [] and X.paragraph_pieces("가" * 60 + "\n\n" + "나" * 60, 100, 20) == ["가" * 60, "가" * 20 + "\n\n" + "나" * 60]
+
+
+def test_window_similarity():
+    source = "x" * 200 + "격자비가 커지면 산란선 제거율이 높아진다." + "y" * 200
+    best = max(difflib.SequenceMatcher(None, "격자비가 커지면 산란선 제거율이 높아진다.", source[i : i + 80]).ratio() for i in range(0, len(source) - 40, 80))
+    assert X.window_similarity("격자비가 커지면 산란선 제거율이 높아진다.", source) == best > 0.3
+    assert X.window_similarity("짧다.", source) == 0.0 and X.window_similarity("", "") == 0.0
+
+
+def test_shown_text(spark):
+    page = "<html><style>p{}</style><p>가 &amp; 나<br>다</p><script>x()</script><ul><li>라&nbsp;마</li></ul><!-- no --></html>"
+    assert one(spark, page, X.html_to_text) == "가 & 나\n다\n라 마"
+    assert one(spark, '<a href="x">', X.html_escaped) == "&lt;a href=&quot;x&quot;&gt;"
+    assert one(spark, "one two three " + "x" * 30, lambda c: X.wrapped(c, 9, 3)) == ["one two", "three", "x" * 9]
+    assert one(spark, "(가) (B) 설명 (A)", X.level_marker) == "B" and one(spark, "(가) (B) 설명 (A)", X.without_level_marker) == "(가) 설명 (A)"
+    assert one(spark, "a/b c?.pdf", X.slug) == "a_b_c_.pdf" and one(spark, "12 kV 3mAs 4", X.numbers_with_units) == ["12kV", "3mAs", "4"]
+
+
+def test_model_values(spark):
+    options = F.array(*[F.lit(str(i)) for i in range(5)])
+    for raw, want in (("3", 1), ("9", 0), ("0", 0), ("[1, 2]", 2), ('{"a": 1}', 1), ('"1, 2,"', 2), ('"A"', 1), ("", 0), ("null", 0), (None, 0)):
+        assert one(spark, raw, lambda c: V.answer_count(c, options)) == want
+    for raw, want in (('["a", "b"]', ["a", "b"]), ('{"2": "b", "1": "a"}', ["a", "b"]), ('[{"text": "a"}, {"content": "b"}]', ["a", "b"]), ("x", []), (None, [])):
+        assert one(spark, raw, V.option_list) == want
+    fixed = one(spark, '{"overall_verdict": "ok", "checks": {"a": {"verdict": "pass", "reason": ""}}}', lambda c: V.normalized_verdict(c, ("pass", "revise"), ("a", "b"), "revise", "missing", "none given"))
+    assert fixed.verdict == "revise" and fixed.revision_required and fixed.checks["a"].reason == "none given" and fixed.checks["b"].verdict == "revise"
+    assert fixed.errors == ["invalid overall_verdict: ok", "missing check reason: a", "missing check: b", "notes is missing or not a string"]
+    moved = spark.createDataFrame([(["a", "b", "c"], 1, 3, "s"), (["a"], 2, 1, "s"), (None, 1, 1, "s")], "o array<string>, a int, t int, s string").select(V.relocated("o", "a", "t", "s").alias("m")).collect()
+    assert moved[0].m[2] == "a" and sorted(moved[0].m) == ["a", "b", "c"] and moved[1].m == ["a"] and moved[2].m is None
