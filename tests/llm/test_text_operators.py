@@ -106,10 +106,47 @@ def test_scan_traces_one_text_alone():
         "측방 분해능 강의 노트   제1장  15\n조건을 따로 만족하였다.", "12  측방 분해능 비전리 영상\n조건을 만족하였다.", "값은 3.5 rnGy 정도다.", "빔을 추적 | 검사에 쓴다.",
     ]
     clean = ["8. 분할 일정의 원리\n조건을 따로 만족하였다.", "조건을 따로\n만족하였다.", "- 첫째 항목이다.\n- 둘째 항목이다.", "병렬 수신 5987 ms | 위상 부호화 95.4 ms | 반복 시간 3 ms", "", "Tc-99m·F-18 자료는 SpO2와 T1을 본다."]
-    assert [scans.has_traces(t, sections) for t in dirty] == [True] * len(dirty)
-    assert [scans.has_traces(t, sections) for t in clean] == [False] * len(clean)
+    model = scans.learned(scan_sample("강의 노트"), sections)
+    assert [scans.has_traces(t, sections, model) for t in dirty] == [True] * len(dirty)
+    assert [scans.has_traces(t, sections, model) for t in clean] == [False] * len(clean)
     text = "측방 분해능 강의 노트   제1장  15\n조건을 따로 만족-\n하였다. 값은 1O.5 mGy이고 초건\n- 13 -\n이 다르다."
-    assert scans.repaired(text, sections, {"초건": "조건"}, set()) == "조건을 따로 만족하였다. 값은 10.5 mGy이고 조건 이 다르다."
+    assert scans.repaired(text, sections, model, {"초건": "조건"}, set()) == "조건을 따로 만족하였다. 값은 10.5 mGy이고 조건 이 다르다."
+
+
+def scan_sample(title):
+    """Texts of a few lines, every other one with a header of that title or a page number."""
+    rng = random.Random(4)
+    words = [chr(0xAC00 + 97 * i) + chr(0xB098 + 31 * i) for i in range(60)]
+
+    def sentence():
+        return " ".join(rng.sample(words, 5)) + rng.choice([" 만족하였다.", f" T{rng.randint(1, 9)}을 {rng.randint(1, 99)} ms 만큼 본다."])
+
+    texts = []
+    for i in range(400):
+        lines = [sentence() if rng.random() < 0.6 else " ".join(rng.sample(words, 14)) for _ in range(rng.randint(2, 4))] + [sentence()]
+        name = " ".join(rng.sample(words, 2))
+        header = [f"{i % 90}  {name} {title} {i % 9}권", f"{name}   제{i % 9}장  {i % 90}", f"< {name} {title} {i % 9}권 >", f"{name}  비전리 영상", f"{i % 90}  {name}   CT"][i % 5]
+        extra = [[], [header], [f"- {i % 90} -"], [], [f"{i % 9}. {name} 원리"], []][i % 6]
+        texts.append("\n".join(extra + lines if i % 2 else lines[:1] + extra + lines[1:]))
+    return texts
+
+
+def test_titles_of_headers_are_learned():
+    sections = scans.section_pattern(["비전리 영상", "CT"])
+    rng = random.Random(5)
+    for title in ("강의 노트", "가람 누리집", "Volume Book"):
+        model = scans.learned(scan_sample(title), sections)
+        texts = [f"새 {chr(0xAC00 + rng.randrange(9_000))} {title} {i % 9}권\n새 조건을 따로 만족하였다." for i in range(50)]
+        assert sum(scans.has_traces(t, sections, model) for t in texts) >= 49
+        assert not any(scans.has_traces(f"새 조건 {i}\n새 조건을 따로 만족하였다.", sections, model) for i in range(50))
+    assert scans.learned([], sections).labels_of(["본문이다."], sections) == [scans.BODY]
+
+
+def test_words_misread_in_many_places_are_found(spark):
+    right = "정관영검점량율확절촬방정관영검"
+    wrong = "".join({v: k for k, v in scans.SYLLABLES.items()}[c] for c in right)
+    df = spark.createDataFrame([(str(i), f"{right} 나머지 {i}") for i in range(40)] + [("x", f"{wrong} 나머지"), ("y", "enamel rnore"), *[(f"m{i}", f"more {i}") for i in range(30)]], "id string, text string")
+    assert {r.word: r.right for r in scans.Lexicon(df).misread.collect()} == {wrong: right, "rnore": "more"}
 
 
 def test_scan_words_of_all_rows(spark):
