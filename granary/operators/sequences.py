@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in order (with the order reversed: the last)."""
@@ -15,27 +17,27 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def fill_quota(pool: DataFrame, quotas: DataFrame, keys: list[str], need: str, order: list[Column]) -> DataFrame:
-    """The first ``need`` rows of the pool for each key; needs of a repeated key are added up."""
-    wanted = quotas.groupBy(*keys).agg(F.sum(need).alias("_need"))
-    ranked = pool.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.join(wanted, keys).filter(F.col("_n") <= F.col("_need")).drop("_n", "_need")
-
+    """The first ``need`` rows of the pool for each key; needs of a repeated key are added up.
 
-def forward_filled(df: DataFrame, column: str, partition: list[str], order: list[Column]) -> Column:
-    """The last value before or at the row that is not null."""
-    return F.last(F.col(column), ignorenulls=True).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    Rows are ranked first in salted parts of a key, of which no more than the need can be taken, then among those left.
+    """
+    wanted = quotas.groupBy(*keys).agg(F.sum(need).alias("_need")).filter("_need > 0")
+    rows = pool.join(wanted, keys).withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in pool.dtypes if not t.startswith("map")]), F.lit(64)))
+    for parts in ([*keys, "_salt"], keys):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).filter(F.col("_n") <= F.col("_need"))
+    return rows.drop("_n", "_need", "_salt")
 
 
 def consecutive_pairs(df: DataFrame, partition: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """Rows (0,1), (2,3), ... of each partition side by side; an odd last row has no pair."""
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
-    rows = df.withColumn("_n", place).withColumn("pair", F.floor(F.col("_n") / 2))
+    rows = numbered_within(df, partition, order, "_n").withColumn("_n", F.col("_n") - 1).withColumn("pair", F.floor(F.col("_n") / 2))
     sides = [F.max(F.when(F.col("_n") % 2 == i, F.col(c))).alias(f"{c}_{i + 1}") for i in (0, 1) for c in keep]
     return rows.groupBy(*partition, "pair").agg(*sides, F.count("*").alias("_size")).filter("_size = 2").drop("_size")
 
 
-def round_robin(partition: list[str], order: list[Column], n: int) -> Column:
-    return (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) % n + 1
+def round_robin(df: DataFrame, partition: list[str], order: list[Column], n: int, name: str = "target") -> DataFrame:
+    """``df`` with 1 to ``n`` in turn within each partition."""
+    return numbered_within(df, partition, order, name).withColumn(name, ((F.col(name) - 1) % n + 1).cast("int"))
 
 
 def fanned_out(df: DataFrame, count: Column, name: str = "variant") -> DataFrame:
@@ -43,15 +45,66 @@ def fanned_out(df: DataFrame, count: Column, name: str = "variant") -> DataFrame
     return df.filter(count > 0).withColumn(name, F.explode(F.sequence(F.lit(0), count - 1)))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "number", parts: int = 200) -> DataFrame:
+def _in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in sorted ranges with ``_part``, written down once: the bounds are drawn from a sample, anew at each run."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """Every row's place in the whole order, from 1: ranges are sorted and counted side by side, no task has all rows."""
-    ordered = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ordered = _in_ranges(df, order)
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ordered.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """Every row's place within its key, from 1; a key that holds a third of all rows lies in many ranges, in no one task.
+
+    The place in the whole order is counted from the first of the key, so only (key, first place) is aggregated.
+    """
+    everything = cut_lineage(numbered(df, [*[F.asc(k) for k in keys], *order], "_at"))
+    firsts = everything.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    joined = everything.alias("r").join(firsts.alias("f"), same)
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._at") - F.col("f._first") + 1).alias(name))
+
+
+def neighbours(df: DataFrame, keys: list[str], order: list[Column], column: str) -> DataFrame:
+    """``df`` with ``before`` and ``after``, the column's value in the rows beside it within the key (null at the ends)."""
+    rows = cut_lineage(numbered(df, [*[F.asc(k) for k in keys], *order], "_at"))
+    out = rows
+    for name, step in (("before", 1), ("after", -1)):
+        beside = rows.select((F.col("_at") + step).alias("_at"), F.struct(*keys).alias(f"_{name}_key"), F.col(column).alias(name))
+        out = out.join(beside, "_at", "left").withColumn(name, F.when(F.struct(*keys).eqNullSafe(F.col(f"_{name}_key")), F.col(name))).drop(f"_{name}_key")
+    return out.drop("_at")
+
+
+def filled_forward(df: DataFrame, column: str, keys: list[str], order: list[str], name: str = "filled") -> DataFrame:
+    """``df`` with the last value of the column that is not null, before or at the row, within the key (``order`` ascending).
+
+    Ranges are filled side by side; only each range's last key and value go on to the ranges after it.
+    """
+    ordered = _in_ranges(df, [F.asc(c) for c in (*keys, *order)])
+    own = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = ordered.withColumn(name, F.last(F.col(column), ignorenulls=True).over(own))
+    last = ordered.filter(F.col(column).isNotNull()).groupBy("_part", *keys).agg(F.max_by(F.col(column), F.struct(*order)).alias("_value"))
+    carried = last.select(*keys, F.col("_part").alias("_from"), "_value")
+    parts = ordered.select("_part", *keys).distinct()
+    same = F.col("c._from") < F.col("p._part")
+    for k in keys:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}"))
+    lead = parts.alias("p").join(carried.alias("c"), same).groupBy("p._part", *[f"p.{k}" for k in keys]).agg(F.max_by("c._value", "c._from").alias("_lead"))
+    match = F.col("l._part") == F.col("r._part")
+    for k in keys:
+        match = match & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = filled.alias("r").join(lead.alias("l"), match, "left")
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], F.coalesce(F.col(f"r.{name}"), F.col("l._lead")).alias(name))
+
+
 def best_list(df: DataFrame, partition: list[str], order: list[Column], k: int, entry: list[str], name: str = "best") -> DataFrame:
     """The first ``k`` entries of each partition as one list in order."""
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).filter(F.col("_n") <= k)

@@ -225,7 +225,7 @@ def finding_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def first_seen_lists(spark: SparkSession, d: str) -> DataFrame:
     """Subjects and fields in the order in which the scope list names them."""
-    rows = S.numbered(read_table(spark, d, "exam_scope"), [F.asc("source_page"), F.asc("id")], "pos", 8)
+    rows = S.numbered(read_table(spark, d, "exam_scope"), [F.asc("source_page"), F.asc("id")], "pos")
     return S.first_seen(rows, ["subject", "field"], F.col("pos")).select("subject", "field", F.col("first").cast("bigint").alias("first"))
 
 
@@ -298,7 +298,7 @@ def page_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numbered_scopes(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.numbered(read_table(spark, d, "exam_scope").select("id", "subject", "area"), [F.asc("subject"), F.asc("area"), F.asc("id")], "n", 8)
+    rows = S.numbered(read_table(spark, d, "exam_scope").select("id", "subject", "area"), [F.asc("subject"), F.asc("area"), F.asc("id")], "n")
     return rows.select("id", F.format_string("scope-%04d", "n").alias("number"))
 
 
@@ -316,7 +316,7 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "exam_scope").join(made, "id", "left").withColumn("missing", F.coalesce("question_count", F.lit(0)) - F.coalesce("made", F.lit(0)))
     priority = F.when(F.col("missing") > 2, "high").when(F.col("missing") > 0, "medium").otherwise("low")
     order = [F.when(F.col("missing") > 2, 0).when(F.col("missing") > 0, 1).otherwise(2), F.desc("missing"), F.asc("period"), F.asc("subject"), F.asc("area"), F.asc("id")]
-    return S.numbered(rows, order, "place", 8).select("id", priority.alias("priority"), F.col("place").cast("bigint").alias("place"))
+    return S.numbered(rows, order, "place").select("id", priority.alias("priority"), F.col("place").cast("bigint").alias("place"))
 
 
 def batch_of_rows(spark: SparkSession, d: str) -> DataFrame:

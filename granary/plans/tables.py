@@ -10,7 +10,7 @@ from granary.functions.text import compact_key
 from granary.operators import gates
 from granary.operators import sequences as S
 from granary.operators import store
-from granary.operators.retrieval import top
+from granary.operators.retrieval import small, top
 from granary.sources.tables import read_table
 from granary.streaming.incremental import still_to_do
 
@@ -153,7 +153,7 @@ def quota_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def round_robin_target(spark: SparkSession, d: str) -> DataFrame:
     rows = _once(spark, d, "question_bank_candidate").filter("answer between 1 and 5 and subject is not null")
-    return rows.select("id", S.round_robin(["subject"], [F.col("id")], 5).alias("target"))
+    return S.round_robin(rows.select("id", "subject"), ["subject"], [F.asc("id")], 5).select("id", "target")
 
 
 def consecutive_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -171,16 +171,13 @@ def variant_fanout(spark: SparkSession, d: str) -> DataFrame:
 def forward_fill(spark: SparkSession, d: str) -> DataFrame:
     """The last mapped detail before each chunk of a file, in reading order."""
     rows = _once(spark, d, "chunks", "rag_input_id").withColumn("detail", V.none_if_blank(F.col("mapped_detail")))
-    filled = S.forward_filled(rows, "detail", ["source_file"], [F.asc("doc_id")])
-    return rows.select("rag_input_id", F.coalesce(filled, F.lit("")).alias("filled"))
+    filled = S.filled_forward(rows.select("rag_input_id", "source_file", "doc_id", "detail"), "detail", ["source_file"], ["doc_id"])
+    return filled.select("rag_input_id", F.coalesce("filled", F.lit("")).alias("filled"))
 
 
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id")
-    rows = _once(spark, d, "source_chunk")
-    return rows.select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+    rows = _once(spark, d, "source_chunk").select("id", "document_id", "chunk_index")
+    return S.neighbours(rows, ["document_id"], [F.asc("chunk_index"), F.asc("id")], "id").select("id", "before", "after")
 
 
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +224,7 @@ def scope_join_compact(spark: SparkSession, d: str) -> DataFrame:
     """Candidates joined to the scope list by compacted subject, field and area."""
     scope = read_table(spark, d, "exam_scope").select(V.scope_key(F.col("subject"), F.col("field"), F.col("area")).alias("k")).distinct()
     rows = _once(spark, d, "question_bank_candidate").withColumn("k", V.scope_key(F.col("subject"), F.col("field"), F.col("area")))
-    return rows.join(F.broadcast(scope.withColumn("known", F.lit(True))), "k", "left").groupBy(F.coalesce("known", F.lit(False)).alias("known")).agg(F.count("*").alias("n"))
+    return rows.join(small(scope.withColumn("known", F.lit(True))), "k", "left").groupBy(F.coalesce("known", F.lit(False)).alias("known")).agg(F.count("*").alias("n"))
 
 
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_nearest_ties_by_id(spark):
 
 def test_sequences(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 3, "z"), ("b", 4, None)], "k string, n int, v string")
-    filled = df.select("n", sequences.forward_filled(df, "v", ["k"], [F.asc("n")]).alias("f"))
+    filled = sequences.filled_forward(df, "v", ["k"], ["n"], "f")
     assert sorted((r.n, r.f or "") for r in filled.collect()) == [(1, "x"), (2, "x"), (3, "z"), (4, "")]
     pairs = sequences.consecutive_pairs(df, ["k"], [F.asc("n")], ["n"])
     assert rows_of(pairs, "k", "n_1", "n_2") == [("a", 1, 2)]
@@ -68,6 +68,27 @@ def test_sequences(spark):
     assert rows_of(sequences.first_per_key(df, ["k"], [F.desc("n")]), "n") == [(3,), (4,)]
 
 
+def test_a_key_over_many_ranges_is_filled_numbered_and_paired(spark):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i, str(i) if i % 11 == 0 else None) for i in range(3_000)] + [(None, 5_000, "n"), (None, 5_001, None)]
+    df = spark.createDataFrame(rows, "k string, n int, v string")
+    before, after, last, number = {}, {}, {}, {}
+    for key in {k for k, _, _ in rows}:
+        own = [(n, v) for k, n, v in rows if k == key]
+        value = None
+        for place, (n, v) in enumerate(own):
+            value = v or value
+            last[n], number[n] = value, place + 1
+            before[n], after[n] = own[place - 1][0] if place else None, own[place + 1][0] if place + 1 < len(own) else None
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {r.n: r.f for r in sequences.filled_forward(df, "v", ["k"], ["n"], "f").collect()} == last
+        assert {r.n: r.p for r in sequences.numbered_within(df, ["k"], [F.asc("n")], "p").collect()} == number
+        beside = sequences.neighbours(df, ["k"], [F.asc("n")], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r.n: r.before for r in beside} == before and {r.n: r.after for r in beside} == after
+
+
 def test_upsert_keeps_and_adds(spark):
     old = spark.createDataFrame([("1", "passed", "t1"), ("2", None, "t2")], "id string, status string, text string")
     new = spark.createDataFrame([("2", "fresh", "n2"), ("3", "fresh", "n3")], "id string, status string, text string")
