@@ -199,3 +199,24 @@ def relocated(options: pd.Series, answer: pd.Series, target: pd.Series, seed: pd
         rest = [rest[i] for i in shuffled(str(s), len(rest))]
         out.append([*rest[: int(t) - 1], own[int(a) - 1], *rest[int(t) - 1 :]])
     return pd.Series(out, dtype=object)
+
+
+def first_hint(text: Column, aliases: list[tuple[str, str]]) -> Column:
+    """The value of the first alias that the text contains, else null."""
+    out = F
+    for alias, value in aliases:
+        out = out.when(F.contains(text, F.lit(alias)), F.lit(value))
+    return out.otherwise(F.lit(None).cast("string"))
+
+
+def entries_of(x: Column, key: str = "questions") -> Column:
+    """The objects of a JSON list, of the list under ``key``, or the one object itself, each as text."""
+    kind = F.substring(F.trim(x), 1, 1)
+    wrapped, listed = F.from_json(F.get_json_object(x, f"$.{key}"), "array<string>"), F.from_json(F.when(kind == "[", x), "array<string>")
+    single = F.when((kind == "{") & F.from_json(x, "map<string,string>").isNotNull(), F.array(x))
+    return F.coalesce(wrapped, listed, single, F.array().cast("array<string>"))
+
+
+def merged_defaults(x: Column, defaults: dict[str, str]) -> Column:
+    """A JSON object's text fields, each with its default where it is absent or blank, as a struct."""
+    return F.struct(*[F.coalesce(none_if_blank(F.get_json_object(x, f"$.{name}")), F.lit(value)).alias(name) for name, value in defaults.items()])

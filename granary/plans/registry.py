@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import lists, search, tables, texts, values
+from granary.plans import lists, rules, search, tables, texts, values
 
-MODULES = (texts, values, search, tables, lists)
+MODULES = (texts, values, search, tables, lists, rules)
 
 
 def queries() -> dict:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import values as V
-from granary.functions.text import compact_key
-from granary.operators import gates
 from granary.operators import sequences as S
 from granary.operators import store
 from granary.operators.retrieval import small, top
@@ -59,19 +57,6 @@ def anti_join_missing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "source_chunk_id")
 
 
-def evidence_admission(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence rows against their chunks: every reason that speaks against one."""
-    chunks = _once(spark, d, "chunks", "rag_input_id").select("rag_input_id", F.col("content_sha256").alias("h"), F.col("page_or_slide").alias("p"), F.length("content").alias("size"), F.lit(1).alias("there"))
-    rows = _once(spark, d, "question_bank_candidate_evidence").join(chunks, "rag_input_id", "left")
-    checks = [
-        ("missing_chunk", F.col("there").isNull()),
-        ("hash_mismatch", (F.col("content_sha256") != "") & (F.col("content_sha256") != F.col("h"))),
-        ("page_mismatch", F.col("page_or_slide") != F.col("p")),
-        ("short", F.col("size") < 80),
-    ]
-    return rows.groupBy(F.array_join(gates.all_reasons(checks), ",").alias("reasons")).agg(F.count("*").alias("n"))
-
-
 def coverage_audit_full_outer(spark: SparkSession, d: str) -> DataFrame:
     """Every area of the scope list and of the candidates, those without the other kept with zeros."""
     scope = read_table(spark, d, "exam_scope").groupBy("area").agg(F.count("*").alias("details"), F.sum(F.coalesce("question_count", F.lit(0))).alias("wanted"))
@@ -235,7 +220,7 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_summary, verdict_counts, scope_group_having, evidence_topk_per_scope, semi_join_safe, anti_join_missing, evidence_admission, coverage_audit_full_outer,
+        candidate_summary, verdict_counts, scope_group_having, evidence_topk_per_scope, semi_join_safe, anti_join_missing, coverage_audit_full_outer,
         top3_sources_string, status_pivot, blueprint_rollup, answer_cube, candidate_list_paged, correlated_counts, candidate_hydrate, latest_status, selectable_status, quota_fill, quota_gaps,
         round_robin_target, consecutive_pairs, variant_fanout, forward_fill, context_lines, dedupe_first, dedupe_last, conflicting_scopes, page_ranges, upsert_preserve,
         incremental_resume, diversity, scope_join_compact, hourly_events,
@@ -263,9 +248,6 @@ SQL = {
         WINDOW w AS (PARTITION BY mapped_scope_id ORDER BY CASE scope_mapping_confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, coalesce(scope_mapping_needs_review, 0), coalesce(page_or_slide, 0), rag_input_id) QUALIFY row_number() OVER w <= 5""",
     "semi_join_safe": f"SELECT evidence_role, count(*) AS n FROM {_E} WHERE rag_input_id IN (SELECT rag_input_id FROM chunks WHERE approved_for_rag_evidence = 1) GROUP BY ALL",
     "anti_join_missing": f"SELECT id, source_chunk_id FROM {_E} e WHERE source_chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM source_chunk s WHERE s.id = e.source_chunk_id)",
-    "evidence_admission": f"""WITH j AS (SELECT e.*, c.content_sha256 AS h, c.page_or_slide AS p, length(c.content) AS size, c.rag_input_id AS there FROM {_E} e LEFT JOIN {_K} c ON e.rag_input_id = c.rag_input_id)
-        SELECT array_to_string(list_sort(list_filter([CASE WHEN there IS NULL THEN 'missing_chunk' END, CASE WHEN content_sha256 <> '' AND content_sha256 <> h THEN 'hash_mismatch' END, CASE WHEN page_or_slide <> p THEN 'page_mismatch' END,
-        CASE WHEN size < 80 THEN 'short' END], lambda x: x IS NOT NULL)), ',') AS reasons, count(*) AS n FROM j GROUP BY 1""",
     "coverage_audit_full_outer": f"""SELECT area, coalesce(details, 0) AS details, CAST(coalesce(wanted, 0) AS BIGINT) AS wanted, coalesce(made, 0) AS made, coalesce(passed, 0) AS passed
         FROM (SELECT area, count(*) AS details, sum(coalesce(question_count, 0)) AS wanted FROM exam_scope GROUP BY area) s FULL JOIN (SELECT area, count(*) AS made, count(*) FILTER (status = 'expert_passed') AS passed FROM {_C} GROUP BY area) c USING (area)""",
     "top3_sources_string": f"""WITH c AS (SELECT mapped_subject, source_file, count(*) AS n FROM {_K} WHERE mapped_subject IS NOT NULL GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY mapped_subject ORDER BY n DESC, source_file) AS r FROM c)
