@@ -271,3 +271,25 @@ def test_leaks_with_small_edits_are_kept(spark):
     got = {r.id: r for r in leakage.leaked_items(df, "doc_id", "text", reference, "item_id", "item_text").collect()}
     assert set(got) == {1, 3} and got[1].run == 59 and got[1].share > 0.1
     assert got[3].run == 150 and 68 / 543 <= got[3].share <= 150 / 543
+
+
+def test_python_functions_are_planned_once(spark, tmp_path):
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+
+    from granary.llm import canonical_list
+
+    def python_steps(df):
+        shown = io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            df.explain()
+        return shown.getvalue().count("ArrowEvalPython")
+
+    df = spark.createDataFrame([("a", "x y")], "id string, t string")
+    made = df.select("id", near_duplicates.features_udf(1, 4, 2)("t").alias("f")).select("id", "f.*")
+    assert python_steps(made.filter(F.col("class").isNotNull())) == 1
+    assert python_steps(df.select("id", packing.token_count()("t").alias("size")).filter("size > 0")) == 1
+    listed = spark.createDataFrame([("k", "x")], "k string, n string")
+    assert python_steps(canonical_list.map_to_list(df, ["id"], "t", listed, "k", "n").filter("canonical_key is not null")) == 1
