@@ -17,6 +17,7 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,9 @@ LETTERS = (("rn", "m"), ("ii", "u"), ("c", "e"), ("b", "h"), ("vv", "w"))
 DIGITS = str.maketrans("lIOoSBZb", "11005826")
 STRAY_MARK = re.compile(r"[¬¦»`^\\]|(?<!\w)_|_(?!\w)")
 PAGE_NUMBER = re.compile(r"^\s*(?:[-–—] ?\d{1,5} ?[-–—]|p\. ?\d{1,5}|\d{1,5} ?/ ?\d{1,5}|제 ?\d{1,5} ?쪽|〔\d{1,5}〕|\[\d{1,5}\]|\d{1,4})\s*$", re.I)
+APART = re.compile(r"^\d{1,5}\s{2,}|\s{2,}\d{1,5}$")
+GAP = re.compile(r"\S\s{2,}\S")
+CLAUSE = re.compile(r"[.!?。,] ")
 SENTENCE_END = re.compile(r"[.!?。！？][\"'”’)\]]*\s*$")
 ITEM = re.compile(r"^\s*(?:[-•*·▪※]\s|\d{1,2}[.)]\s|[①-⑳])")
 CUT = re.compile(r"(?<=[가-힣A-Za-z])-[ \t]*\n[ \t]*(?=[가-힣a-z])")
@@ -53,6 +57,12 @@ def section_pattern(names: Iterable[str]) -> re.Pattern:
     return re.compile(r"(?:^|(?<=[\s|\-<]))(?:" + "|".join(found or ["(?!)"]) + r")\s*>?\s*$")
 
 
+@lru_cache(8)
+def longest_name(sections: re.Pattern) -> int:
+    """Characters at the end of a line that hold any of the names."""
+    return max(map(len, sections.pattern.split("|"))) + 8
+
+
 def words_of(line: str) -> list[str]:
     """The words of a short line as features, with every number as 0."""
     return [f"word {w}" for w in dict.fromkeys(re.findall(r"[^\W\d_]+|0|\|", re.sub(r"\d+", "0", line)))] if len(line) <= SHORT else []
@@ -60,6 +70,8 @@ def words_of(line: str) -> list[str]:
 
 def line_features(lines: list[str], sections: re.Pattern) -> list[list[str]]:
     out = []
+    whole, reach = "\n".join(lines), longest_name(sections)
+    marked = "|" in whole or "-" in whole and CUT.search(whole) or any(p.search(whole) for p in (STRAY_MARK, MISREAD_NUMBER, MISREAD_INSIDE, MISREAD_UNIT))
     for i, line in enumerate(lines):
         text = line.strip()
         if not text:
@@ -69,11 +81,12 @@ def line_features(lines: list[str], sections: re.Pattern) -> list[list[str]]:
             out.append(["page number"])
             continue
         own = ["line", "short" if len(text) <= SHORT else "long"]
-        bare = re.sub(r"^\d{1,5}\s{2,}|\s{2,}\d{1,5}$", "", text)
-        own += [n if len(text) <= SHORT else f"{n}, long" for n, holds in zip(LAYOUT, (bare != text, re.search(r"\S\s{2,}\S", bare), bare.startswith("<") and bare.endswith(">"), " | " in bare and stray_pipes(bare), sections.search(bare))) if holds]
-        many = len(bare.split())
-        own.append(f"{min(many, 9)} words")
-        if re.search(r"[.!?。,] ", bare) and not ITEM.match(bare):
+        spread = sum(map(len, text.split())) + len(text.split()) - 1 < len(text)  # only then is anything set apart
+        bare = APART.sub("", text) if spread else text
+        signs = (bare != text, spread and GAP.search(bare), bare.startswith("<") and bare.endswith(">"), " | " in bare and stray_pipes(bare), sections.search(bare, max(0, len(bare) - reach)))
+        own += [n if len(text) <= SHORT else f"{n}, long" for n, holds in zip(LAYOUT, signs) if holds]
+        own.append(f"{min(len(bare.split()), 9)} words")
+        if CLAUSE.search(bare) and not ITEM.match(bare):
             own.append("clause inside")
         own.append("sentence end" if SENTENCE_END.search(text) else "open end")
         if ITEM.match(line):
@@ -82,8 +95,10 @@ def line_features(lines: list[str], sections: re.Pattern) -> list[list[str]]:
             own.append("first or last")
         elif lines[i - 1].strip() and not SENTENCE_END.search(lines[i - 1]):
             own.append("interrupts")
-        after = lines[i + 1] if i + 1 < len(lines) else ""
-        own += [n for n, holds in zip(MARKS, (STRAY_MARK.search(line), MISREAD_NUMBER.search(line), MISREAD_INSIDE.search(line), MISREAD_UNIT.search(line), "|" in line and stray_pipes(line), text.endswith("-") and CUT.search(f"{line}\n{after}"))) if holds]
+        if marked:
+            after = lines[i + 1] if i + 1 < len(lines) else ""
+            found = (STRAY_MARK.search(line), MISREAD_NUMBER.search(line), MISREAD_INSIDE.search(line), MISREAD_UNIT.search(line), "|" in line and stray_pipes(line), text.endswith("-") and CUT.search(f"{line}\n{after}"))
+            own += [n for n, holds in zip(MARKS, found) if holds]
         out.append(own + words_of(bare))
     return out
 
@@ -113,15 +128,30 @@ class LineModel:
 
     def __init__(self, weights: dict[str, tuple[float, ...]], steps: list[list[float]]):
         self.weights, self.steps = weights, steps
-        self.none = (0.0,) * len(LABELS)
+        self.swing = 2 * (max(map(max, steps)) - min(map(min, steps)))  # the most that labels around a line can add or take
+        self.known: dict[tuple[str, ...], tuple[list[float], int, bool]] = {}
+
+    def scored(self, own: tuple[str, ...]) -> tuple[list[float], int, bool]:
+        """A line's score for each label, the best label, and whether no labels around it could change that."""
+        found = self.known.get(own)
+        if found is None:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            none = (0.0,) * len(LABELS)
+            score = [sum(x) for x in zip(*[self.weights.get(f, none) for f in own])]
+            first, second = sorted(score)[:-3:-1]
+            found = self.known[own] = (score, score.index(first), first - second > self.swing)
+        return found
 
     def labels_of(self, lines: list[str], sections: re.Pattern) -> list[int]:
-        """The most probable labels of the lines (Viterbi)."""
-        get, steps, none = self.weights.get, self.steps, self.none
+        """The most probable labels of the lines (Viterbi, where a line alone does not decide)."""
+        scored = [self.scored(tuple(own)) for own in line_features(lines, sections)]
+        if all(sure for _, _, sure in scored):
+            return [label for _, label, _ in scored]
+        steps = self.steps
         best: list[float] = []
         back: list[list[int]] = []
-        for own in line_features(lines, sections):
-            score = [sum(x) for x in zip(*[get(f, none) for f in own])]
+        for score, _, _ in scored:
             if best:
                 froms = [max(LABELS, key=lambda a: best[a] + steps[a][b]) for b in LABELS]
                 back.append(froms)
