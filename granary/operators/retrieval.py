@@ -40,16 +40,12 @@ def bm25(df: DataFrame, id_column: str, fields: dict[str, float], queries: DataF
     rows = df.select(F.col(id_column).alias("id"), F.concat(*made).alias("terms")).select("id", F.size("terms").alias("length"), "terms")
     whole = rows.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     wanted = small(queries.select("term").distinct())
-    per_row = F.transform(F.array_distinct(F.transform("terms", lambda t: t["term"])), lambda n: F.struct(n.alias("term"), _weight_of(n).alias("f")))
-    hits = rows.select("id", "length", F.explode(per_row).alias("t")).select("id", "length", "t.term", "t.f").join(wanted, "term")
+    each = rows.withColumn("copy", F.monotonically_increasing_id()).select("id", "length", "copy", F.explode("terms").alias("t")).select("id", "length", "copy", "t.term", "t.w")
+    hits = each.join(wanted, "term").groupBy("id", "length", "copy", "term").agg(F.sum("w").alias("f"))
     hits = hits.groupBy("id", "term").agg(F.first("length").alias("length"), F.first("f").alias("f"))
     return scores(hits, whole, queries, k1, b)
 
 
-def _weight_of(name: Column) -> Column:
-    return F.aggregate(F.filter("terms", lambda t: t["term"] == name), F.lit(0.0), lambda s, t: s + t["w"])
-
-
 def scores(hits: DataFrame, whole: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, id, score) from the queries' postings ``hits`` (id, term, f, length) and the collection's ``docs`` and ``mean``."""
     rarity = hits.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole))
