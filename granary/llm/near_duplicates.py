@@ -9,6 +9,9 @@ pair, then thins the candidates, and exact multiset similarity verifies them.
 
 Records with the same words are one class with one representative, so a group of copies, however large, costs one row a
 class until the pairs of all members are written out at the end.
+
+Every join has a side that grows with the table, and the planner takes arrays of tokens for one token each, so it would
+send such a side through the driver; all of them ask for a shuffled join (``merge``).
 """
 
 from __future__ import annotations
@@ -108,8 +111,8 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     both = F.col("size_a") + F.col("size_b")
     bound = apart <= both * ((1 - least) / (1 + least)) + 1e-6
     sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6
-    pairs = a.join(b, "key").filter((F.col("class_a") < F.col("class_b")) & sizes & bound).select("class_a", "class_b").distinct()
-    words = classes.select("class", "tokens")
+    pairs = a.join(b.hint("merge"), "key").filter((F.col("class_a") < F.col("class_b")) & sizes & bound).select("class_a", "class_b").distinct()
+    words = classes.select("class", "tokens").hint("merge")
     full = pairs.join(words.select(F.col("class").alias("class_a"), F.col("tokens").alias("tokens_a")), "class_a").join(
         words.select(F.col("class").alias("class_b"), F.col("tokens").alias("tokens_b")), "class_b"
     )
@@ -131,7 +134,7 @@ def near_duplicates(
     made = rows.select("id", features_udf(least_words, filters, orders_each)("_text").alias("f")).select("id", "f.*").filter(F.col("class").isNotNull())
     made = cut_lineage(made)
     members = made.select("id", "class").distinct()
-    first = members.groupBy("class").agg(F.min("id").alias("representative"))
+    first = members.groupBy("class").agg(F.min("id").alias("representative")).hint("merge")
     classes = made.groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "low", "high", "tokens", "keys")])
     links = similar_classes(classes, least)
     named = links.join(first.select(F.col("class").alias("class_a"), F.col("representative").alias("a")), "class_a").join(
@@ -147,11 +150,11 @@ def expanded_links(members: DataFrame, links: DataFrame, part: int = 1_000) -> D
     stays linear. A class of more than ``part`` members is met in parts of about that size, so that no task has all its
     pairs.
     """
-    sizes = members.groupBy("representative").agg(F.count("*").alias("n"), F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sizes = members.groupBy("representative").agg(F.count("*").alias("n"), F.ceil(F.count("*") / part).cast("int").alias("parts")).hint("merge")
     own = sizes.filter("n > 1").select(F.col("representative").alias("id_a"), F.col("representative").alias("id_b"))
     met = links.select("id_a", "id_b").unionByName(own).join(sizes.select(F.col("representative").alias("id_b"), "parts"), "id_b")
-    left = members.select("id", F.col("representative").alias("id_a")).join(met, "id_a")
+    left = members.select("id", F.col("representative").alias("id_a")).join(met.hint("merge"), "id_a")
     left = left.select("id", "id_b", (F.col("id_a") == F.col("id_b")).alias("own"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
     right = members.join(sizes, "representative").select(F.col("id").alias("other"), F.col("representative").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = left.join(right, ["id_b", "part"]).filter((F.col("id") < F.col("other")) | ~F.col("own") & (F.col("id") > F.col("other")))
+    pairs = left.join(right.hint("merge"), ["id_b", "part"]).filter((F.col("id") < F.col("other")) | ~F.col("own") & (F.col("id") > F.col("other")))
     return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -23,7 +23,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate with the least id of its group of similar ones (its own where it has none) and its class."""
     members, pairs = near_duplicates.near_duplicates(read_table(spark, d, "question_bank_candidate"), "id", P1_TEXT)
     groups = links.connected_components(pairs, "id_a", "id_b").select(F.col("id").alias("representative"), "group")
-    joined = members.join(groups, "representative", "left")
+    joined = members.join(groups.hint("merge"), "representative", "left")
     return joined.select("id", F.col("representative").alias("class_id"), F.coalesce("group", "representative").alias("group_id"))
 
 

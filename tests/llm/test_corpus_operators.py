@@ -293,3 +293,18 @@ def test_python_functions_are_planned_once(spark, tmp_path):
     assert python_steps(df.select("id", packing.token_count()("t").alias("size")).filter("size > 0")) == 1
     listed = spark.createDataFrame([("k", "x")], "k string, n string")
     assert python_steps(canonical_list.map_to_list(df, ["id"], "t", listed, "k", "n").filter("canonical_key is not null")) == 1
+
+
+def executed_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_of_the_pairs_goes_through_the_driver(spark):
+    rng = random.Random(5)
+    rows = [(f"{i:02d}", " ".join(rng.sample(WORDS, 60))) for i in range(20)] + [(f"c{i:02d}", " ".join(WORDS[:50] + WORDS[100 : 100 + i % 3])) for i in range(12)]
+    members, pairs = near_duplicates.near_duplicates(spark.createDataFrame(rows, "id string, t string"), "id", ["t"])
+    edges = pairs.selectExpr("id_b AS u", "id_a AS v")
+    for df in (near_duplicates.expanded_links(members, pairs), members, links._star(edges, True), links._star(edges, False)):
+        plan = executed_plan(df)
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
