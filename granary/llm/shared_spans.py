@@ -8,8 +8,10 @@ hashed in 96 bits, and those met in two records are the shared characters.
 Nothing is paired: hashes are aggregated before they move, so a passage in a third of all records costs one row a task.
 The shared hashes go back to the texts as a Bloom filter, sized from their count so that about one place in a thousand
 passes unduly (``FILTER_BITS`` and ``FILTER_PROBES``); it lets no shared hash through unseen, and what passes unduly is
-told apart by the exact grouping and join after it. Where the filter would exceed ``most_bits``, places travel to the
-texts by a shuffled semi join, and windows straight to the join, so that the work stays linear at any size.
+told apart by the exact grouping and join after it. Tasks build the filter in blocks, and the driver passes them on in
+pieces of at most 8 MB (``PIECE_BITS``), one after the other. Where the filter would exceed ``most_bits``, places travel
+to the texts by a shuffled semi join, and windows straight to the join, so that the work stays linear at any size. Joins
+with hashes ask for a shuffled join (``merge``), as the planner takes these sides for smaller than they are.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from granary.session import cut_lineage
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SLICE = 1 << 20
 FILTER_BITS = 16  # bits a hash; with six probes one other hash in a thousand passes
+BLOCK_BITS, PIECE_BITS = 23, 26  # all probes of a hash lie in one block, which one task builds; a piece holds whole blocks
 FILTER_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -111,38 +115,49 @@ def anchors_of(length: int, period: int, cover: list[int]):
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes."""
+    """A Bloom filter over 64-bit hashes; ``pieces`` are broadcasts of its blocks, 2^``each`` blocks in one."""
 
-    def __init__(self, bits: int, words: np.ndarray):
-        self.bits, self.words = bits, words
+    def __init__(self, bits: int, held: int, each: int, pieces: list[Broadcast]):
+        self.bits, self.held, self.each, self.pieces = bits, held, each, pieces
 
     def marked(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for probe in FILTER_PROBES:
-            index = (hashes[out] * probe) >> np.uint64(64 - self.bits)
-            out[out] = (self.words[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) > 0
+        out = np.zeros(len(hashes), bool)
+        block = ((hashes >> np.uint64(1)) >> np.uint64(63 - self.bits + self.held)).astype(np.int64)
+        for n, piece in enumerate(self.pieces):
+            at = np.flatnonzero(block >> self.each == n)
+            for probe in FILTER_PROBES:
+                index = (hashes[at] * probe) >> np.uint64(64 - self.held)
+                word = ((block[at] - (n << self.each)) << (self.held - 6)) + (index >> np.uint64(6)).astype(np.int64)
+                at = at[(piece.value[word] >> (index & np.uint64(63))) & np.uint64(1) > 0]
+            out[at] = True
         return out
 
 
-def filter_of(hashes: DataFrame, most_bits: int) -> Filter | None:
+def filter_of(hashes: DataFrame, most_bits: int, block_bits: int = BLOCK_BITS, piece_bits: int = PIECE_BITS) -> Filter | None:
     """A filter of the ``hash`` column sized from its count, at most 2^(most_bits - 6) words; None beyond that."""
     bits = max(12, (max(1, hashes.count()) * FILTER_BITS - 1).bit_length())
     if bits > most_bits:
         return None
+    held = min(bits, block_bits)
+    each = max(0, min(bits, piece_bits) - held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("hash").to_numpy().view(np.uint64)
-            index = np.sort(((own[:, None] * FILTER_PROBES) >> np.uint64(64 - bits)).ravel())
-            word, bit = (index >> np.uint64(6)).view(np.int64), np.uint64(1) << (index & np.uint64(63))
-            begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))[: len(word)]
-            merged_bits = np.bitwise_or.reduceat(bit, begins) if len(begins) else bit
-            yield pa.RecordBatch.from_arrays([pa.array(word[begins]), pa.array(merged_bits.view(np.int64))], ["word", "bits"])
-
-    found = hashes.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return Filter(bits, words)
+    def run(group: pa.Table) -> pa.Table:
+        own, hit = group.column("hash").to_numpy().view(np.uint64), np.zeros(1 << held, bool)
+        for probe in FILTER_PROBES:
+            hit[(own * probe) >> np.uint64(64 - held)] = True
+        return pa.table({"block": group.column("block").slice(0, 1), "words": pa.array([np.packbits(hit, bitorder="little").tobytes()], pa.binary())})
+
+    block = F.shiftrightunsigned(F.shiftrightunsigned("hash", 1), 63 - bits + held)
+    blocks = hashes.select("hash", block.cast("int").alias("block")).groupBy("block").applyInArrow(run, "block int, words binary")
+    if bits > held + each:
+        blocks = cut_lineage(blocks)
+    pieces = []
+    for first in range(0, 1 << (bits - held), 1 << each):
+        words = np.zeros((1 << each, 1 << (held - 6)), np.uint64)
+        for row in blocks.filter(F.col("block").between(first, first + (1 << each) - 1)).collect():
+            words[row.block - first] = np.frombuffer(row.words, np.uint64)
+        pieces.append(hashes.sparkSession.sparkContext.broadcast(words.ravel()))
+    return Filter(bits, held, each, pieces)
 
 
 def anchor_hits(length: int, period: int, cover: list[int]):
@@ -175,7 +190,7 @@ def windows_of(length: int, period: int, cover: list[int], anchors, windows):
                     at = places.flatten().to_numpy().astype(np.int64) + starts[rows]
                 else:
                     rows, at = anchor_places(starts, sizes, period, cover, window)
-                    hit = anchors.value.marked(first.windows(prefix, at, window))
+                    hit = anchors.marked(first.windows(prefix, at, window))
                     rows, at = rows[hit], at[hit]
                 if not len(at):
                     continue
@@ -186,7 +201,7 @@ def windows_of(length: int, period: int, cover: list[int], anchors, windows):
                 places = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
                 h1 = first.windows(prefix, places, length)
                 if windows is not None:
-                    hit = windows.value.marked(h1)
+                    hit = windows.marked(h1)
                     places, h1 = places[hit], h1[hit]
                 if not len(places):
                     continue
@@ -204,29 +219,31 @@ def shared_windows(rows: DataFrame, length: int, period: int = 133, most_bits: i
     ``rows`` has ``row`` and ``record`` (long) and ``text``; texts shorter than ``length`` or null have no window. Texts
     are read three times (anchors, windows, shared windows) and, within ``most_bits``, never shuffled.
     """
-    context = rows.sparkSession.sparkContext
     if not 1 <= period < length:
         raise ValueError("the period must be smaller than the length")
     cover = difference_cover(period)
     long = rows.filter(F.length("text") >= length)
     anchors = long.select("record", "text").mapInArrow(anchors_of(length, period, cover), "hash long, record long")
     shared = cut_lineage(anchors.groupBy("hash").agg(F.min("record").alias("a"), F.max("record").alias("b")).filter("a < b").select("hash"))
-    fitting = filter_of(shared, most_bits)
-    texts, of_anchors = long.select("record", "row", "text"), None
-    if fitting is None:
-        hits = long.select("row", "text").mapInArrow(anchor_hits(length, period, cover), "hash long, row long, place int").join(shared, "hash", "left_semi")
-        texts = cut_lineage(texts.join(hits.groupBy("row").agg(F.array_distinct(F.collect_list("place")).alias("places")), "row"))
-    else:
-        of_anchors = context.broadcast(fitting)
+    of_anchors = filter_of(shared, most_bits)
+    texts = long.select("record", "row", "text")
+    if of_anchors is None:
+        hits = long.select("row", "text").mapInArrow(anchor_hits(length, period, cover), "hash long, row long, place int").join(shared.hint("merge"), "hash", "left_semi")
+        texts = cut_lineage(texts.join(hits.groupBy("row").agg(F.array_distinct(F.collect_list("place")).alias("places")).hint("merge"), "row"))
 
     def windows(of_windows) -> DataFrame:
         return texts.mapInArrow(windows_of(length, period, cover, of_anchors, of_windows), "h1 long, h2 int, record long, row long, place int")
 
     both = windows(None).groupBy("h1", "h2").agg(F.min("record").alias("a"), F.max("record").alias("b")).filter("a < b")
     both = cut_lineage(both.select("h1", "h2"))
-    fitting = filter_of(both.select(F.col("h1").alias("hash")), most_bits)
-    found = windows(None if fitting is None else context.broadcast(fitting))
-    return found.join(both, ["h1", "h2"], "left_semi").select("row", "record", "place")
+    found = windows(filter_of(both.select(F.col("h1").alias("hash")), most_bits))
+    return found.join(both.hint("merge"), ["h1", "h2"], "left_semi").select("row", "record", "place")
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """``small``, with a shuffled join asked for beyond its rows."""
+    found = small(df)
+    return df.hint("merge") if found is df else found
 
 
 def _keyed(df: DataFrame, key_columns: list[str], record_columns: list[str], text_column: str) -> DataFrame:
@@ -250,7 +267,7 @@ def shared_spans(df: DataFrame, key_columns: list[str], record_columns: list[str
     characters of the span under that name. Other columns are ignored.
     """
     keyed = _keyed(df, key_columns, record_columns, text_column)
-    spans = small(_spans(keyed, length).select("row", "start", "stop"))
+    spans = _sent(_spans(keyed, length).select("row", "start", "stop"))
     passage = [F.expr("substring(text, start + 1, stop - start)").alias(passage_column)] if passage_column else []
     return keyed.join(spans, "row").select(*key_columns, "start", "stop", *passage).distinct()
 
@@ -261,7 +278,7 @@ def covered_shares(df: DataFrame, key_columns: list[str], record_columns: list[s
     The characters of a record are those of all its texts. Repeated rows count once.
     """
     keyed = _keyed(df, key_columns, record_columns, text_column)
-    covered = small(_spans(keyed, length).groupBy("record").agg(F.sum(F.col("stop") - F.col("start")).alias("covered")))
+    covered = _sent(_spans(keyed, length).groupBy("record").agg(F.sum(F.col("stop") - F.col("start")).alias("covered")))
     sizes = keyed.select(*key_columns, "record", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct()
     records = sizes.groupBy("record", *record_columns).agg(F.sum("n").alias("characters")).join(covered, "record", "left")
     share = F.coalesce(F.try_divide("covered", "characters"), F.lit(0.0))

@@ -308,3 +308,20 @@ def test_no_side_of_the_pairs_goes_through_the_driver(spark):
     for df in (near_duplicates.expanded_links(members, pairs), members, links._star(edges, True), links._star(edges, False)):
         plan = executed_plan(df)
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_filter_in_several_pieces(spark):
+    held = spark.createDataFrame([(int(x),) for x in np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 5_000)], "hash long")
+    found = shared_spans.filter_of(held, 29, block_bits=12, piece_bits=14)
+    assert [len(p.value) for p in found.pieces] == [1 << 8] * 8
+    assert found.marked(np.array([r.hash for r in held.collect()], np.int64).view(np.uint64)).all()
+    assert found.marked(np.random.default_rng(4).integers(0, 1 << 64, 100_000, dtype=np.uint64)).mean() < 0.002
+    assert not shared_spans.filter_of(held.limit(0), 29, block_bits=12, piece_bits=14).marked(np.arange(9, dtype=np.uint64)).any()
+
+
+@pytest.mark.parametrize("most_bits", [29, 6])
+def test_no_hashes_of_windows_go_through_the_driver(spark, most_bits):
+    texts = [(i, i, "".join(chr(0xAC00 + 7 * j + 1_000 * (i % 3)) for j in range(230))) for i in range(6)]
+    found = shared_spans.shared_windows(spark.createDataFrame(texts, "row long, record long, text string"), 200, most_bits=most_bits)
+    assert "Broadcast" not in (plan := executed_plan(found)) and "SortMergeJoin" in plan
+    assert found.count() == 6 * 31
